@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsearch.llm import audio, langid, mixing
+from tarnsearch.llm import audio, decontaminate, langid, mixing, neardup, quality
 from tarnsearch.llm._spark import ship, table
 
 
@@ -18,14 +18,32 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_audio(table(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_audio": op3_audio,
+    "op5_neardup": op5_neardup,
     "op6_mix": op6_mix,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
 }
 
 ORACLES = {"op6_mix": mixing.SQL.replace("{docs}", "documents")}
