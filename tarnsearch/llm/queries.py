@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsearch.llm import audio, decontaminate, langid, mixing, neardup, quality
+from tarnsearch.llm import audio, decontaminate, langid, mixing, neardup, pii, quality
 from tarnsearch.llm._spark import ship, table
 
 
@@ -18,6 +18,11 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_audio(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count_col="n_entities")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
@@ -40,6 +45,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op3_audio": op3_audio,
+    "op4_pii": op4_pii,
     "op5_neardup": op5_neardup,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
