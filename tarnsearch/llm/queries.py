@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsearch.llm import audio, decontaminate, langid, mixing, neardup, pii, quality
+from tarnsearch.llm import audio, decontaminate, langid, lm, mixing, neardup, pii, quality, tokencount
 from tarnsearch.llm._spark import ship, table
 
 
@@ -13,6 +13,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.vocabulary())
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return audio.text_audio(table(spark, sf_dir, "documents"))
@@ -42,14 +47,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
+    "op2_tokens": op2_tokens,
     "op3_audio": op3_audio,
     "op4_pii": op4_pii,
     "op5_neardup": op5_neardup,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
 }
 
 ORACLES = {"op6_mix": mixing.SQL.replace("{docs}", "documents")}
