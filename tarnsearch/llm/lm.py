@@ -243,10 +243,10 @@ def count_contexts(train: DataFrame) -> list[np.ndarray]:
     rows = train.select("text").mapInArrow(run, "block long, blob binary")
     # Two rounds: a block's parts meet in several tasks first, so no task reads all parts of a block.
     parts = rows.repartition("block", F.pmod(F.xxhash64("blob"), F.lit(16))).mapInArrow(add, "block long, blob binary")
-    tables = empty_tables()
+    tables = [np.zeros((1 << b, 2), dtype=np.float32) for b in BITS]  # exact up to 2**24, then rounded
     for block, blob in parts.repartition("block").mapInArrow(add, "block long, blob binary").collect():
         at, n = unpacked(bytes(blob))
-        tables[block >> 20][at + ((block & 0xFFFFF) << _BLOCK)] += n
+        tables[block >> 20][at + ((block & 0xFFFFF) << _BLOCK)] = n
     return tables
 
 
