@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsearch.llm import audio, decontaminate, langid, lm, mixing, neardup, pii, quality, tokencount
+from tarnsearch.llm import audio, decontaminate, langid, lm, mixing, neardup, pii, quality, suffixes, tokencount
 from tarnsearch.llm._spark import ship, table
 
 
@@ -52,6 +52,11 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_tokens": op2_tokens,
@@ -62,6 +67,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLES = {"op6_mix": mixing.SQL.replace("{docs}", "documents")}
