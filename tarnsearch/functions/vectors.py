@@ -26,14 +26,19 @@ class EmbeddingType(Enum):
     HASHED = HASH_DIMENSION
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside a lambda an expression would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def unit(v: Column) -> Column:
     """Scaled to length 1; a zero vector stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(v, lambda v: bound(norm(v), lambda n: scaled(v, n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,8 +58,8 @@ def checked(v: Column, dimension: int) -> Column:
 def hashed(text: Column) -> Column:
     """A vector without a model: counts of tokens by hash bucket, scaled to length 1. No rows move."""
     buckets = F.transform(tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(HASH_DIMENSION)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSION - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return unit(counts)
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMENSION - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
+    return unit(bound(buckets, counts))
 
 
 def hashed_of(text: str) -> list[float]:

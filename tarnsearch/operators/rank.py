@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnsearch.functions.text import TokenOptions, tokens_of
+from tarnsearch.functions.vectors import bound
 from tarnsearch.operators.index import Index, contexts, spread_apart
 from tarnsearch.operators.vectors import search as nearest
 
@@ -46,11 +47,15 @@ def proximity(lists: Column) -> Column:
 
     Only order forwards from the first list counts. Fewer than two lists give 0; if there is no such occurrence, d is FAR.
     """
-    reach = lambda a: F.array_max(F.transform(lists, lambda one: F.array_min(F.filter(one, lambda p: p >= a)))) - a
-    possible = lambda a: F.forall(lists, lambda one: F.element_at(one, -1) >= a)
-    spans = F.transform(F.element_at(lists, 1), lambda a: F.when(possible(a), reach(a)))
-    least = F.coalesce(F.array_min(F.filter(spans, lambda x: x.isNotNull())), F.lit(FAR))
-    return F.when(F.size(lists) < 2, F.lit(0.0)).otherwise(1.0 / (1 + least))
+
+    def of(lists: Column) -> Column:
+        reach = lambda a: F.array_max(F.transform(lists, lambda one: F.array_min(F.filter(one, lambda p: p >= a)))) - a
+        possible = lambda a: F.forall(lists, lambda one: F.element_at(one, -1) >= a)
+        spans = F.transform(F.element_at(lists, 1), lambda a: F.when(possible(a), reach(a)))
+        least = F.coalesce(F.array_min(F.filter(spans, lambda x: x.isNotNull())), F.lit(FAR))
+        return F.when(F.size(lists) < 2, F.lit(0.0)).otherwise(1.0 / (1 + least))
+
+    return bound(lists, of)
 
 
 def keyword_hits(index: Index, query: list[str]) -> DataFrame:

@@ -72,7 +72,7 @@ def test_documents_without_tokens_count_in_the_average(index):
     assert row["avg_length"] == pytest.approx(sum(len(set(tokens_of(t))) for t in TEXTS.values()) / 5)
 
 
-@pytest.mark.parametrize(("lists", "want"), [([[3]], 0.0), ([[3], [3]], 1.0), ([[5], [1]], 1 / 1_000_001), ([[1, 10], [12], [11, 2]], 1 / 3)])
+@pytest.mark.parametrize(("lists", "want"), [([[3]], 0.0), ([[3], [3]], 1.0), ([[5], [1]], 1 / 1_000_001), ([[1, 10], [12], [2, 11]], 1 / 3)])
 def test_proximity_cases(spark, lists, want):
     row = spark.createDataFrame([(lists,)], "l array<array<int>>").select(rank.proximity(F.col("l")).alias("p")).first()
     assert row["p"] == pytest.approx(want)
