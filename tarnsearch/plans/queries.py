@@ -492,10 +492,10 @@ n AS (SELECT '/data/' || source || '/' || doc_id || '.txt' AS path, sha256(CASE
 x AS (SELECT coalesce(n.path, o.path) AS path, o.doc_id, coalesce(n.h, o.h) AS sha256, CASE WHEN n.path IS NULL THEN 'missing' WHEN o.path IS NULL THEN 'new' WHEN n.h <> o.h THEN 'changed' WHEN o.model <> 'new' THEN 'model_changed' ELSE 'unchanged' END AS action FROM n FULL JOIN o ON n.path = o.path)"""
 
 
-@query(f"WITH {_DIFF} SELECT path, doc_id, sha256, action FROM x")
+@query(f"WITH {_DIFF} SELECT path, coalesce(doc_id, -1)::BIGINT AS doc_id, sha256, action FROM x")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _before_and_after(spark, sf_dir)
-    return mf.diff(new, old, "new").select("path", "doc_id", "sha256", "action")
+    return mf.diff(new, old, "new").select("path", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "sha256", "action")
 
 
 @query(f"WITH {_DIFF}, m AS (SELECT max(doc_id) AS m FROM o) SELECT count(*)::BIGINT AS n, count(DISTINCT sha256)::BIGINT AS hashes, max(CASE WHEN action = 'new' THEN m + (SELECT count(*) FROM x WHERE action = 'new') ELSE 0 END)::BIGINT AS last_id FROM x CROSS JOIN m WHERE action <> 'missing'")
