@@ -28,7 +28,7 @@ def html_text(html: Column, separator: str = "") -> Column:
     """Text of a page without scripts and styles. With a separator, the trimmed non-empty pieces are joined by it."""
     out = html
     for pattern in DROPPED:
-        out = F.regexp_replace(out, pattern, "")
+        out = F.regexp_replace(out, pattern, "<i>" if separator else "")  # what is dropped parts the text around it
     if not separator:
         return _decoded(F.regexp_replace(out, TAG, ""))
     pieces = F.transform(F.split(out, TAG), lambda x: F.regexp_replace(_decoded(x), r"^[\p{Z}\s]+|[\p{Z}\s]+$", ""))

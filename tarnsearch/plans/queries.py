@@ -393,6 +393,8 @@ def result_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?is)<!doctype[^>]*>', '', 'g')"""
 
+_PARTED = _STRIPPED.replace("'', 'g'", "'<i>', 'g'")
+
 
 def _sql_decoded(x: str) -> str:
     for name, c in web.ENTITIES:
@@ -418,7 +420,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(web.html_text(F.col("html"))).alias("text"))
 
 
-@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_STRIPPED}, '(?s)</?[a-zA-Z][^>]*>'), lambda x: regexp_replace({_sql_decoded('x')}, '^[\\p{{Z}}\\s\\x{{0b}}]+|[\\p{{Z}}\\s\\x{{0b}}]+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM pages")
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_PARTED}, '(?s)</?[a-zA-Z][^>]*>'), lambda x: regexp_replace({_sql_decoded('x')}, '^[\\p{{Z}}\\s\\x{{0b}}]+|[\\p{{Z}}\\s\\x{{0b}}]+$', '', 'g')), lambda x: x <> ''), ' ') AS text FROM pages")
 def crawl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", web.html_text(F.col("html"), " ").alias("text"))
 
