@@ -1,6 +1,7 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-A language's dictionary is raw content for zstandard: whole sample texts of that language, one after the other. A text is
+A language's dictionary is raw content for zstandard: whole sample texts of that language, one after the other; all texts
+are taken in lower case. A text is
 compressed once with each dictionary; the smallest result names the language, and the lead over the second smallest, in
 proportion, is the margin. Where it is under ``min_margin`` the row is rejected.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_BYTES = 100_000
 SAMPLE_TEXT = 8_192
 MAX_LANGUAGES = 256
-LEVEL = 3
+LEVEL = 9
 MIN_MARGIN = 0.01
 BITS_A_STEP = 32.0
 LETTER = re.compile(r"[^\W\d_]")
@@ -47,7 +48,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     wanted = F.create_map(*(x for r in known for x in (F.lit(r[0]), F.lit(min(1.0, (2.0 * sample_bytes + 8 * SAMPLE_TEXT) / r["n"])))))
     found = defaultdict(list)
     for lang, t, o in fit_for.where(share < wanted[F.col(lang_col)]).select(lang_col, text_col, order).collect():
-        found[lang].append((o, t.encode()))
+        found[lang].append((o, t.lower().encode()))
     out = {}
     for lang, sample in sorted(found.items()):
         content, used = [], 0
@@ -74,7 +75,7 @@ class Compressors:
         """(language or und, score, margin, compressed bytes)."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0, 0
-        raw = text.encode()
+        raw = text.lower().encode()
         sizes = [len(t.compress(raw)) for t in self.tools]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         others = sizes[:best] + sizes[best + 1 :]
