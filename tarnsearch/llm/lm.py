@@ -16,6 +16,7 @@ other words' occurrences are joined with their counts.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ FREQUENT = 1 << 18
 PAST = 5
 _BLOCK = 16
 _RATE = 0.1
+_PIECE = 1 << 20
+_LEVEL = np.minimum(np.log2(np.arange(1 << LEVELS - 1) + 1).astype(np.int64), LEVELS - 1)
 
 
 def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,19 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<u8", 2 * n, 2 * n).reshape(2, n).T.astype(np.int64)
 
 
+def frozen(tables: list[np.ndarray]) -> list[bytes]:
+    """Tables as compressed bytes: small where few slots are used, at most the tables' fixed size."""
+    return [zlib.compress(np.ascontiguousarray(t, dtype="<f4").tobytes(), 1) for t in tables]
+
+
+def thawed(name: str, blobs: list[bytes], _kept: dict = {}) -> list[np.ndarray]:  # noqa: B006
+    """The tables again; a worker keeps the last."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = [np.frombuffer(zlib.decompress(b), "<f4").reshape(-1, 2) for b in blobs]
+    return _kept[name]
+
+
 @dataclass
 class Mixer:
     """Tables and weights; ``refine`` has (ones, all) by node and bucket of the mixed prediction."""
@@ -134,13 +150,13 @@ class Mixer:
         bit = (grams >> U64(7 - known) & U64(1)).astype(np.int64)
         stretch, level = np.empty((len(at), len(grams)), np.float32), np.empty((len(at), len(grams)), np.int64)
         for k, place in enumerate(at):
-            n = self.tables[k][place].astype(np.float32)
+            n = self.tables[k].take(place, axis=0)
             zeros, ones = n[:, 0], n[:, 1]
             if own:
                 ones = np.maximum(ones - bit, 0)
                 zeros = np.maximum(zeros - (1 - bit), 0)
             stretch[k] = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
-            level[k] = np.minimum(np.log2(zeros + ones + 1).astype(np.int64), LEVELS - 1)
+            level[k] = _LEVEL.take((zeros + ones).astype(np.int64), mode="clip")
         return stretch, level, bit, node
 
     def dot(self, stretch: np.ndarray, level: np.ndarray, known: int) -> np.ndarray:
@@ -158,7 +174,9 @@ class Mixer:
                 stretch, level, bit, node = self.inputs(g, known, True)
                 dot = np.clip(self.dot(stretch, level, known), -12, 12)
                 p = 1 / (1 + np.exp(-dot))
-                np.add.at(self.refine, (node, self.bucket(dot)), np.stack([c * bit, c], 1))
+                cell = node * BUCKETS + self.bucket(dot)
+                for j, x in enumerate((c * bit, c)):
+                    self.refine[..., j] += np.bincount(cell, x, 256 * BUCKETS).reshape(256, BUCKETS)
                 error = (bit - p) * c
                 for k in range(len(BITS)):
                     gradient = np.bincount(level[k], error * stretch[k], LEVELS)
@@ -213,7 +231,7 @@ def count_contexts(train: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, found, held = empty_tables(), [], 0
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 grams, _ = laid_out(*texts(part.column(0)))
                 found.append(np.unique(grams, return_counts=True))
                 held += len(found[-1][0])
@@ -252,15 +270,21 @@ def count_contexts(train: DataFrame) -> list[np.ndarray]:
 
 def train_mixer(train: DataFrame, tables: list[np.ndarray]) -> Mixer:
     shape = (len(BITS), 8, LEVELS)
-    shared = train.sparkSession.sparkContext.broadcast(tables)
+    shared = train.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frozen(tables)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, step, n = Mixer.start(shared.value), np.full(shape, 1e-6), 0
+        mixer, step, n = Mixer.start(thawed(*shared.value)), np.full(shape, 1e-6), 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 grams, _ = laid_out(*texts(part.column(0)))
-                mixer.learn(*np.unique(grams, return_counts=True), step)
+                found.append(np.unique(grams, return_counts=True))
                 n += len(grams)
+                if sum(len(g) for g, _ in found) > 2 << 20:  # texts repeat their grams: learn each once, by its count
+                    mixer.learn(*_merged(found), step)
+                    found = []
+        if found:
+            mixer.learn(*_merged(found), step)
         if n:
             values = np.concatenate([(mixer.weights * n).ravel(), mixer.refine.ravel(), [n]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
@@ -269,7 +293,7 @@ def train_mixer(train: DataFrame, tables: list[np.ndarray]) -> Mixer:
     sums = np.zeros(size + 256 * BUCKETS * 2 + 1)
     for place, value in train.select("text").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value")).collect():
         sums[place] = value
-    shared.unpersist()
+    shared.destroy()
     if not sums[-1]:
         return Mixer.start(tables)
     return Mixer(tables, (sums[:size] / sums[-1]).reshape(shape), sums[size:-1].reshape(256, BUCKETS, 2))
@@ -333,14 +357,14 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
     n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
     known, n_known = frequent(counts)
     mixer = train_mixer(train, count_contexts(train))
-    shared = docs.sparkSession.sparkContext.broadcast((known, n_known, mixer))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frozen(mixer.tables), mixer.weights, mixer.refine, known, n_known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, n, model = shared.value
-        costs, row = Costs(model), TaskContext.get().partitionId() << 36
+        name, tables, weights, refine, word, n = shared.value
+        costs, row = Costs(Mixer(thawed(name, tables), weights, refine)), TaskContext.get().partitionId() << 36
         logs = np.log10(n + 1.0)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 raw, off = texts(part.column(1))
                 grams, to = laid_out(raw, off)
                 spent = np.concatenate([[0.0], np.cumsum(costs(grams))])
@@ -360,7 +384,7 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_hit", "logs", "bits", "n_bytes", "rest"])
 
     first = settle(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_hit long, logs double, bits double, n_bytes long, rest array<long>"))
-    shared.unpersist()
+    shared.destroy()
     rare = first.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts, "word").groupBy(F.col("row").alias("row_")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     out = first.drop("rest").join(rare, F.col("row") == F.col("row_"), "left")
