@@ -1,4 +1,4 @@
-"""The positional inverted index: tables built from documents in single passes, and their upkeep."""
+"""The positional inverted index: its tables and their upkeep."""
 
 from __future__ import annotations
 
@@ -32,10 +32,7 @@ class Index:
 
 
 def postings(docs: DataFrame, options: TokenOptions = TokenOptions()) -> DataFrame:
-    """A row for each document and token: frequency and ordered positions.
-
-    Each document's tokens are grouped in the row itself, so building the index moves no rows.
-    """
+    """A row for each document and token: frequency and ordered positions. One shuffle, by document and token."""
     found = docs.select("doc_id", tokens(F.col("text"), options).alias("t"))
     placed = found.select("doc_id", F.posexplode("t").alias("pos", "tok"))
     return placed.groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
