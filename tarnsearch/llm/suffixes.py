@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,11 @@ _ID = np.dtype([("rid", ">u8"), ("n", ">u4"), ("i", ">u4")])
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of what is settled."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of what is settled: they go once neither Python nor the JVM refers to them."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def cuts(sums: np.ndarray, a: int, b: int, bits: int) -> np.ndarray:
@@ -350,6 +353,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = groups.join(wanted, F.col("key") == F.col("key_")).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))
     chosen = rows.where("text is not null").join(spans, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_"))).select("rid", "n", "text", "spans")
     chosen = settle(chosen)
+    release(spark)
     found = neighbours(window_keys(chosen, length))
     release(spark)
     done = rows.where("n_removed is not null").select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
