@@ -197,8 +197,9 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
 
 
-def judge(text: Text, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What shared tokens say of each window: (repeated, undecided, and of groups: key, begin, end, whether undecided)."""
+def judge(text: Text, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What shared tokens say of each window: (repeated, undecided, and of groups: key, begin, end, whether undecided, hash
+    of all their windows' bytes)."""
     length, p = text.length, np.arange(text.n - text.length + 1)
     low, high = np.searchsorted(text.all, p, "right") - 1, np.searchsorted(text.all, p + length)
     repeated = shared[np.minimum(low, len(shared) - 1)] >= high - low
@@ -209,7 +210,7 @@ def judge(text: Text, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     possible[possible] = shared[first[possible] + 1] >= np.minimum(within[possible], TOKENS)
     free = within < 1
     undecided = ~repeated & (possible | free)
-    keys, begin, end, open_ = [], [], [], []
+    keys, begin, end, open_, whole = [], [], [], [], []
 
     def group(of: np.ndarray, marks: tuple[np.ndarray, ...], spans: tuple[np.ndarray, np.ndarray], salt: int) -> None:
         if not len(of):
@@ -220,6 +221,7 @@ def judge(text: Text, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         begin.append(of[at])
         end.append(of[np.concatenate([at[1:], [len(of)]]) - 1] + 1)
         open_.append(np.maximum.reduceat(undecided[of], at))
+        whole.append(text.hash(begin[-1], end[-1] - 1 + length).view(np.int64))
 
     if possible.any():
         of = np.flatnonzero(possible)
@@ -232,7 +234,7 @@ def judge(text: Text, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         rest = of[~some]
         group(rest, (rest,), (rest, rest + length), 3)
     none = np.zeros(0, np.int64)
-    joined = [np.concatenate(x) if x else none for x in (keys, begin, end, open_)]
+    joined = [np.concatenate(x) if x else none for x in (keys, begin, end, open_, whole)]
     return repeated, undecided, *joined
 
 
@@ -250,7 +252,7 @@ def outcome(raw: bytes, repeated: np.ndarray, length: int) -> tuple[int, int, st
     return int(gone.sum()), len(_runs(gone)) // 2, hashlib.sha256(left.tobytes()).hexdigest()
 
 
-_JUDGED = "doc_id long, rid long, n long, n_removed long, n_spans long, kept_sha256 string, repeated array<int>, undecided array<int>, keys array<long>, begins array<int>, ends array<int>, opens array<boolean>, text binary"
+_JUDGED = "doc_id long, rid long, n long, n_removed long, n_spans long, kept_sha256 string, repeated array<int>, undecided array<int>, keys array<long>, begins array<int>, ends array<int>, opens array<boolean>, wholes array<long>, text binary"
 
 
 def judged(named: DataFrame, shared: DataFrame, length: int) -> DataFrame:
@@ -258,7 +260,7 @@ def judged(named: DataFrame, shared: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _JUDGED.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary()]
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             for part in pieces(batch, "text", _PIECE):
                 raw, off = texts(part.column(3))
@@ -268,15 +270,15 @@ def judged(named: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     own = raw[a:b].tobytes()
                     head = (ids[k], rids[k], ns[k])
                     if b - a < length:
-                        rows.append((*head, *outcome(own, np.zeros(0, bool), length), None, None, None, None, None, None, None))
+                        rows.append((*head, *outcome(own, np.zeros(0, bool), length), *[None] * 8))
                         continue
                     text = Text(sums, a, b, length)
                     r = np.zeros(len(text.all), dtype=np.int64)
                     if places[k]:
                         np.maximum.at(r, np.array(places[k]), np.array(sizes[k]))
-                    repeated, undecided, keys, begin, end, open_ = judge(text, r)
+                    repeated, undecided, keys, begin, end, open_, whole = judge(text, r)
                     done = (None, None, None) if undecided.any() else outcome(own, repeated, length)
-                    groups = (keys, begin, end, open_.astype(bool)) if len(keys) else (None,) * 4
+                    groups = (keys, begin, end, open_.astype(bool), whole) if len(keys) else (None,) * 5
                     rows.append((*head, *done, _runs(repeated) if undecided.any() else None, _runs(undecided) if undecided.any() else None, *groups, own if len(keys) else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -347,10 +349,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     rows = settle(judged(named, shared, length))
     release(spark)
-    groups = rows.where("keys is not null").select("rid", "n", F.explode(F.arrays_zip("keys", "begins", "ends", "opens")).alias("g"))
-    groups = groups.select("rid", "n", F.col("g.keys").alias("key"), F.col("g.begins").alias("b"), F.col("g.ends").alias("e"), F.col("g.opens").alias("open"))
+    groups = rows.where("keys is not null").select("rid", "n", F.explode(F.arrays_zip("keys", "begins", "ends", "opens", "wholes")).alias("g"))
+    groups = groups.select("rid", "n", F.col("g.keys").alias("key"), F.col("g.begins").alias("b"), F.col("g.ends").alias("e"), F.col("g.opens").alias("open"), F.col("g.wholes").alias("whole"))
     wanted = groups.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("open")).where("members > 1 and open").select(F.col("key").alias("key_"))
-    spans = groups.join(wanted, F.col("key") == F.col("key_")).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    groups = groups.join(wanted.withColumnRenamed("open", "wanted"), F.col("key") == F.col("key_"))
+    # Of decided members with the same bytes one stands for all: undecided ones only ask whether there is another.
+    same = groups.where("not open").groupBy("key", "whole").agg(F.min(F.struct("rid", "n", "b", "e")).alias("m")).select("m.*")
+    spans = groups.where("open").select("rid", "n", "b", "e").unionAll(same).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))
     chosen = rows.where("text is not null").join(spans, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_"))).select("rid", "n", "text", "spans")
     chosen = settle(chosen)
     release(spark)
