@@ -11,7 +11,8 @@ probability of their weighted Jaccard similarity. Texts that agree in all sample
 
 Exact copies are first made one node. Inside a band's bucket no pairs are listed at first: for HUB_ROUNDS rounds the
 members are compared with one member, drawn by a seeded hash, and verified links make components. What remains is exact:
-members of a bucket that are still in different components are compared with each other, unless they have been.
+members of a bucket that are still in different components are compared with each other, unless they have been. Before
+texts are compared, a pair must agree in AGREE samples and its total weights, whose ratio bounds the similarity, be close.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm._bytes import U64, mix, pieces, shingles, texts, word_hashes
@@ -33,27 +34,32 @@ BANDS = 16
 ROWS = 5
 HUB_ROUNDS = 2
 IDF_BUCKETS = 1 << 16
-_TABLE = 1 << 16
+AGREE = 48  # of the samples; at similarity 0.8 a pair has fewer in 5 of a million cases
+_TABLE_BITS = 14
 
 
 def _draws() -> tuple[np.ndarray, ...]:
-    """Fixed pseudo-random tables of r, 1/r, ln c (both Gamma(2, 1)) and beta (uniform), and a multiplier a sample."""
-    u = lambda k: (mix(np.arange(_TABLE, dtype=U64) + U64(k << 32)) >> U64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
-    r, c = -np.log(u(1) * u(2)), -np.log(u(3) * u(4))
+    """Fixed pseudo-random tables of r and c, both Gamma(2, 1), and beta, uniform: r, 1/r, ln c - r (1 - beta), beta; and
+    a multiplier a sample."""
+    u = lambda k: (mix(np.arange(1 << _TABLE_BITS, dtype=U64) + U64(k << 32)) >> U64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+    r, c, beta = -np.log(u(1) * u(2)), -np.log(u(3) * u(4)), u(6)
     odd = mix(np.arange(BANDS * ROWS, dtype=U64) + U64(5 << 32)) | U64(1)
-    return r.astype(np.float32), (1 / r).astype(np.float32), np.log(c).astype(np.float32), u(6).astype(np.float32), odd
+    return *(x.astype(np.float32) for x in (r, 1 / r, np.log(c) - r * (1 - beta), beta)), odd
 
 
 def samples(h: np.ndarray, log_weight: np.ndarray, draws: tuple[np.ndarray, ...]) -> np.ndarray:
     """The BANDS * ROWS samples of a weighted set of distinct hashes in ascending order, as 64-bit names."""
-    r, inverse, log_c, beta, odd = draws
+    r, inverse, level, beta, odd = draws
     best, found = None, None
-    for at in range(0, len(h), 2048):
-        part, lw = h[at : at + 2048], log_weight[at : at + 2048]
-        place = (part[None, :] * odd[:, None] >> U64(48)).astype(np.int32)
-        b = beta[place]
-        t = np.floor(lw * inverse[place] + b)
-        value = log_c[place] - r[place] * (t - b + np.float32(1))
+    for at in range(0, len(h), 512):
+        part, lw = h[at : at + 512], log_weight[at : at + 512]
+        place = (part[None, :] * odd[:, None] >> U64(64 - _TABLE_BITS)).astype(np.intp)
+        t = inverse.take(place)
+        t *= lw
+        t += beta.take(place)
+        np.floor(t, out=t)
+        value = level.take(place)
+        value -= r.take(place) * t  # ln c - r (t - beta + 1)
         i = np.argmin(value, 1)[:, None]
         low = np.take_along_axis(value, i, 1)[:, 0]
         name = mix(part[i[:, 0]] + np.take_along_axis(t, i, 1)[:, 0].astype(np.int64).astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -129,16 +135,28 @@ def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def signatures(rows: DataFrame, frequency: np.ndarray, n_docs: int) -> DataFrame:
-    """(doc_id, key, bands) of (doc_id, key, text); a text without words has no bands."""
+    """(doc_id, key, bands, sample bytes, total weight) of (doc_id, key, text); a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, draws = Weigher(frequency, n_docs), _draws()
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                got = [bands(samples(own, np.log(w).astype(np.float32), draws)) if len(own) else [] for own, w in weigh(*texts(part.column(2)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+                keys, low, total = [], [], []
+                for own, w in weigh(*texts(part.column(2))):
+                    found = samples(own, np.log(w).astype(np.float32), draws) if len(own) else np.zeros(0, U64)
+                    keys.append(bands(found) if len(own) else [])
+                    low.append(found.astype(np.uint8).view(np.int8))
+                    total.append(w.sum())
+                cols = [part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int8())), pa.array(total, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "bands", "low", "weight"])
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, bands array<long>")
+    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, bands array<long>, low array<tinyint>, weight double")
+
+
+def alike(low_a: Column, low_b: Column, weight_a: Column, weight_b: Column, least: float) -> Column:
+    """Whether a pair can be similar: total weights bound the similarity, and enough samples agree in a byte."""
+    agree = F.aggregate(F.zip_with(low_a, low_b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return (F.least(weight_a, weight_b) >= F.greatest(weight_a, weight_b) * (least - 1e-9)) & (agree >= AGREE)
 
 
 def verify(pairs: DataFrame, found: DataFrame, frequency: np.ndarray, n_docs: int, least: float) -> DataFrame:
@@ -176,11 +194,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     frequency, n_docs = document_frequency(rows)
     signed = settle(signatures(rows, frequency, n_docs))
-    named = signed.groupBy("key").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"))
+    named = signed.groupBy("key").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("weight").alias("weight"))
     nodes = settle(named)
-    spread = nodes.where(F.col("name").isNotNull()).select("key", F.explode("bands").alias("band"))
+    spread = nodes.where(F.col("name").isNotNull()).select("key", "low", "weight", F.explode("bands").alias("band"))
     full = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band_"))
-    members = settle(spread.join(full, F.col("band") == F.col("band_")).select("band", "key"))
+    members = settle(spread.join(full, F.col("band") == F.col("band_")).select("band", "key", "low", "weight"))
     needed = members.select("key").distinct().join(nodes.select("key", "name"), "key").select(F.col("key").alias("key_"), "name")
     found = rows.join(needed, (F.col("doc_id") == F.col("name")) & (F.col("key") == F.col("key_"))).select("key", "text")
     found = settle(found)
@@ -189,18 +207,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     for k in range(HUB_ROUNDS + 1):
         at = members
         if joined is not None:
-            at = at.join(joined, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("component"))
+            at = at.join(joined, F.col("key") == F.col("node"), "left").select("band", "key", "low", "weight", F.coalesce("component", "key").alias("component"))
         else:
             at = at.withColumn("component", F.col("key"))
-        open_ = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "component")).alias("hub"))
-        open_ = open_.where("low <> high").select(F.col("band").alias("band_"), "hub")
+        open_ = at.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "component", "low", "weight")).alias("hub"))
+        open_ = open_.where("least <> most").select(F.col("band").alias("band_"), "hub")
         at = at.join(open_, F.col("band") == F.col("band_"))
         if k < HUB_ROUNDS:
-            pairs = at.where("component <> hub.component").select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
+            pairs = at.where("component <> hub.component").where(alike(F.col("low"), F.col("hub.low"), F.col("weight"), F.col("hub.weight"), least)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
         else:
-            one = at.select("band", F.col("key").alias("a"), F.col("component").alias("of_a"))
-            two = at.select("band", F.col("key").alias("b"), F.col("component").alias("of_b"))
-            pairs = one.join(two, "band").where("a < b and of_a <> of_b").select("a", "b")
+            one, two = (at.select(*(F.col(c).alias(f"{c}_{x}") for c in ("band", "key", "component", "low", "weight"))) for x in "ab")
+            may = alike(F.col("low_a"), F.col("low_b"), F.col("weight_a"), F.col("weight_b"), least)
+            pairs = one.join(two, F.expr("band_a = band_b and key_a < key_b and component_a <> component_b") & may).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
