@@ -38,20 +38,24 @@ def _any(words: tuple[str, ...]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+#: An IPv6 address with "::", up to seven groups beside it.
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_COMPRESSED = "|".join([*(f"(?:{_GROUP}:){{1,{7 - n}}}(?::{_GROUP}){{1,{n}}}" for n in range(1, 7)), f"(?:{_GROUP}:){{1,7}}:", f":(?::{_GROUP}){{1,7}}"])
 #: (type, pattern): the first group of a pattern is the entity. Order matters: what is marked isn't looked at again.
 PATTERNS = (
     ("E", r"([\p{L}\p{N}._%+-]{1,128}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24})"),
     ("V", r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"),
+    ("V", r"(?<![\p{L}\p{N}:_])(" + _COMPRESSED + r")(?![\p{L}\p{N}:_]|\.\d)"),
     ("A", r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"),
-    ("K", r"(?<![\p{L}\p{N}])((?=[A-Fa-f]{0,128}\d)[A-Fa-f0-9]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,100})(?![\p{L}\p{N}])"),
+    ("K", r"(?<![\p{L}\p{N}])((?=[A-Fa-f]*+\d)[A-Fa-f0-9]{32,}+|AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,})(?![\p{L}\p{N}])"),
     ("B", r"(?<![\p{L}\p{N}])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"),
     ("S", r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"),
     ("P", r"(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4})(?!\d)"),
     ("P", r"(?<![\p{L}\p{N}])((?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4})(?!\d)"),
     ("C", r"(?<![\d])(\d(?:[ -]?\d){12,18})(?!\d)"),
 )
-#: A text without any of these has no entity by PATTERNS, or of names; cheap, as most texts need nothing else.
-_HINT = r"[0-9@]"
+#: Each pattern needs one of these: a text without them has no entity by PATTERNS; cheap, as most texts need nothing else.
+_HINT = r"[0-9@]|:[0-9A-Fa-f]{0,4}:|sk-|gh[pousr]_|AKIA"
 _PEOPLE = "(?=[" + "".join(sorted({x[0] for x in TITLES_M + TITLES_F + NAMES_M + NAMES_F})) + r"])(?<!\p{L})" + _any(TITLES_M + TITLES_F + NAMES_M + NAMES_F) + r"(?!\p{L})"
 
 

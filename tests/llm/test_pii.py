@@ -41,6 +41,24 @@ def test_collisions_are_resolved(spark):
     assert not any((r["kind"], r["surrogate"]) in own for r in got if r["kind"] == "A")
 
 
+def test_secrets_and_addresses_of_letters_alone_and_of_any_length(spark):
+    secrets = [
+        "sk-abcdefghijklmnopqrstuvwx", "sk-" + "abcde_fghij-" * 12 + "k", "ghp_" + "abcdef" * 6, "gho_" + "aB" * 30, "AKIA" + "ABCDEFGH" * 2, "0a" * 100,
+        "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd", "2001:db8::1", "fe80::", "::1", "dead::beef", "1:2:3:4:5:6::8", "::ffff:192.0.2.77",
+    ]
+    clean = ["std::cout << x", "see: this, and: that", "Ratio 3:4", "ask-me-about-something"]
+    rows = [(i, f"It is {t} here.") for i, t in enumerate(secrets + clean)]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    for i, secret in enumerate(secrets):
+        assert got[i]["n"] == 1 and secret not in got[i]["text"], secret
+        assert re.fullmatch(r"It is \S+ here\.", got[i]["text"])
+        tail = secret if "." not in secret else secret.rpartition(":")[2]
+        assert tail not in got[i]["text"]
+    assert "fghij" not in got[1]["text"] and "0a0a" not in got[5]["text"]
+    for i in range(len(secrets), len(rows)):
+        assert got[i]["n"] == 0 and got[i]["text"] == rows[i][1]
+
+
 def test_edges(edge, none):
     got = pii.replace(edge)
     assert got.columns == edge.columns and sorted(map(str, got.collect())) == sorted(map(str, edge.collect()))
