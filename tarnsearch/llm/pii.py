@@ -9,7 +9,8 @@ their script (Latin or Cyrillic).
 A surrogate is drawn by a keyed hash of type and normal form (case and separators dropped), so an entity has one surrogate
 in all documents and spellings; "Mr. Smith" and "John Smith" share the surname's. Collisions are checked over the whole
 corpus: a surrogate is drawn again where it equals an original of its type, one accepted earlier, or one of the same draw
-whose normal form comes first. After MAX_DRAWS (only if originals fill most of their format's space) the last is kept.
+whose normal form comes first. What waits after MAX_DRAWS (where originals fill much of their format's space) is given the
+unused values of its format by rank; only where a format is full are surrogates longer than it, by a character at a time.
 
 Documents without an entity aren't moved; the others are joined with their own replacements by id.
 """
@@ -163,11 +164,96 @@ def lay_out(kind: Column, value: Column, surrogate: Column) -> Column:
         new = F.substr(surrogate, at, F.lit(1))
         return F.when(~c.rlike("[0-9A-Za-z]"), c).when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
 
-    spelled = F.array_join(F.transform(F.split(value, ""), one), "")
+    rest = F.substr(surrogate, F.length(F.regexp_replace(value, "[^0-9A-Za-z+]", "")) + 1)  # of a longer surrogate
+    spelled = F.concat(F.array_join(F.transform(F.split(value, ""), one), ""), rest)
     plain = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("M", "F", "N"), name).when(kind.isin("E", "A", "V"), plain).otherwise(F.when(kind == "K", F.when(F.length(value) == F.length(surrogate), F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))), "")).otherwise(surrogate)).otherwise(spelled))
 
 
+# The alphabets of a format's places: digits, hexadecimal letters, letters, octets, syllables.
+_ALPHABETS = {"0": list("0123456789"), "a": list("abcdef"), "z": [chr(97 + i) for i in range(26)], "o": [str(i) for i in range(1, 255)], "s": _SYLLABLES["Latin"], "c": _SYLLABLES["Cyrillic"]}
+_FAR = 1 << 50
+
+
+def shape(kind: Column, norm: Column, longer: int, key: str = KEY) -> Column:
+    """The format of a normal form's surrogates: a fixed head, places by alphabet (other characters stay), a fixed tail.
+
+    ``longer`` places are added at the end.
+    """
+    def places(text: Column, letter: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(text, r"\p{L}", letter), "[0-9]", "0")
+
+    people, cyrillic = kind.isin("M", "F", "N"), norm.rlike(r"\p{IsCyrillic}")
+    hexadecimal = (kind == "V") | (kind == "K") & norm.rlike("^[0-9a-f]+$")
+    script = lambda latin, other: F.when(cyrillic, F.lit(other)).otherwise(F.lit(latin))
+    head = F.when(kind == "P", F.regexp_extract(norm, r"^\+?\d", 0)).when(kind == "B", F.substring(norm, 1, 2)).otherwise("")
+    own = F.when(kind == "E", F.substring_index(norm, "@", 1)).otherwise(F.substr(norm, F.length(head) + 1))
+    more = F.when(people, script("s", "c")).when(kind == "A", ".o").when(hexadecimal, "a").when(kind.isin("E", "K"), "z").otherwise("0")
+    pattern = F.when(people, script("sss", "ccc")).when(kind == "A", "o.o.o.o").when(hexadecimal, places(own, "a")).otherwise(places(own, "z"))
+    ends = lambda k: script(_ENDINGS["Latin", k][0], _ENDINGS["Cyrillic", k][0])
+    tail = F.when(kind == "M", ends("M")).when(kind == "F", ends("F")).when(kind == "N", ends("N"))
+    tail = tail.when(kind == "E", F.concat(F.lit("@"), F.substring_index(draw(kind, norm, 0, key), "@", -1))).otherwise("")
+    return F.struct(kind.alias("kind"), head.alias("head"), F.concat(pattern, F.repeat(more, F.lit(longer))).alias("pattern"), tail.alias("tail"))
+
+
+def _size(place: Column) -> Column:
+    out = F.lit(1)
+    for c, alphabet in _ALPHABETS.items():
+        out = F.when(place == c, len(alphabet)).otherwise(out)
+    return out.cast("long")
+
+
+def room(pattern: Column) -> Column:
+    """How many values a format has, _FAR at most."""
+    return F.aggregate(F.split(pattern, ""), F.lit(1).cast("long"), lambda n, c: F.least(n * _size(c), F.lit(_FAR)))
+
+
+def value_at(form: Column, n: Column) -> Column:
+    """The n-th value of a format, from 0."""
+    def step(acc: Column, c: Column) -> Column:
+        at = (acc["left"] % _size(c)).cast("int")
+        one = c
+        for place, alphabet in _ALPHABETS.items():
+            one = F.when(c == place, F.element_at(F.array(*map(F.lit, alphabet)), F.when(c == place, at).otherwise(0) + 1)).otherwise(one)
+        return F.struct(F.floor(acc["left"] / _size(c)).cast("long").alias("left"), F.concat(acc["out"], one).alias("out"))
+
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    return F.concat(form["head"], F.aggregate(F.split(form["pattern"], ""), start, step)["out"], form["tail"])
+
+
+def by_rank(waiting: DataFrame, forbidden: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, norm, surrogate) for all that wait: unused values of their formats; forbidden has (kind_, taken)."""
+    from pyspark.sql import Window
+
+    out, longer = None, 0
+    while not waiting.isEmpty():
+        formed = waiting.withColumn("form", shape(F.col("kind"), F.col("norm"), longer, key))
+        rank = F.row_number().over(Window.partitionBy("form").orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "norm"), 256)))
+        formed = settle(formed.withColumn("rank", rank))
+        # Of the first (taken + waiting) values of a format as many as wait are free, if it has so many.
+        of_kind = forbidden.groupBy("kind_").agg(F.count("*").alias("n_taken"))
+        forms = formed.groupBy("form").agg(F.count("*").alias("n")).join(of_kind, F.col("form.kind") == F.col("kind_"))
+        forms = forms.select("form", "n", F.least(room(F.col("form.pattern")), F.col("n") + F.col("n_taken")).alias("top"))
+        block = 1 << 12
+        values = forms.select("form", "n", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("top") - 1) / block))).alias("block"))
+        values = values.repartition("form", "block")
+        last = F.least(F.col("top"), (F.col("block") + 1) * block) - 1
+        values = values.select("form", "n", F.explode(F.sequence(F.col("block") * block, last)).alias("at"))
+        values = values.select("form", "n", "at", value_at(F.col("form"), F.col("at")).alias("surrogate"))
+        values = values.join(forbidden, (F.col("form.kind") == F.col("kind_")) & (F.col("surrogate") == F.col("taken")), "left_anti")
+        # A value that two formats have goes to one of them.
+        values = values.groupBy(F.col("form.kind").alias("kind_"), "surrogate").agg(F.min(F.struct("form", "n", "at")).alias("own"))
+        place = F.row_number().over(Window.partitionBy("own.form").orderBy("own.at"))
+        free = values.select("surrogate", F.col("own.form").alias("form_"), F.col("own.n").alias("n_"), place.alias("place")).where("place <= n_")
+        given = formed.join(free, (F.col("form") == F.col("form_")) & (F.col("rank") == F.col("place")), "left")
+        given = settle(given.select("kind", "norm", "surrogate"))
+        new = given.where("surrogate is not null")
+        out = new if out is None else out.unionAll(new)
+        forbidden = forbidden.unionAll(new.select(F.col("kind").alias("kind_"), F.col("surrogate").alias("taken")))
+        waiting, longer = given.where("surrogate is null").select("kind", "norm"), longer + 1
+    return out
+
+
 def assign(originals: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, surrogate) of distinct (kind, norm), checked for collisions as the module says."""
     taken = waiting = originals = settle(originals.select("kind", "norm").distinct())
@@ -182,13 +268,13 @@ def assign(originals: DataFrame, key: str = KEY) -> DataFrame:
         free = free.select(F.col("kind").alias("kind_"), F.col("winner"))
         good = drawn.join(free, (F.col("kind") == F.col("kind_")) & (F.col("norm") == F.col("winner")), "left")
         good = settle(good.select("kind", "norm", "surrogate", F.col("winner").isNotNull().alias("good")))
-        last = n == MAX_DRAWS - 1
-        new = (good if last else good.where("good")).select("kind", "norm", "surrogate")
+        new = good.where("good").select("kind", "norm", "surrogate")
         accepted = new if accepted is None else accepted.unionAll(new)
         waiting = good.where("not good").select("kind", "norm")
-        if last or waiting.isEmpty():
+        if waiting.isEmpty():
             return accepted
-    return accepted
+    forbidden = taken.unionAll(accepted.select("kind", "surrogate")).toDF("kind_", "taken")
+    return accepted.unionAll(by_rank(waiting, forbidden, key))
 
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tarnsearch.llm import pii
 
 ROWS = [
@@ -41,6 +43,23 @@ def test_collisions_are_resolved(spark):
     assert not any((r["kind"], r["surrogate"]) in own for r in got if r["kind"] == "A")
 
 
+def test_what_random_draws_leave_is_given_unused_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("S", f"{i:03d}") for i in range(400)] + [("S", str(i)) for i in range(10)] + [("E", f"{a}{b}@qv.org") for a in letters[:23] for b in letters] + [("P", f"+4{i}") for i in range(7)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    assert sorted((r["kind"], r["norm"]) for r in got) == sorted(rows)
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows)
+    assert not {(r["kind"], r["surrogate"]) for r in got} & set(rows)
+    for r in got:
+        full = len(r["norm"]) == 1 or r["kind"] == "P"
+        assert full or len(r["surrogate"].split("@")[0]) == len(r["norm"].split("@")[0])
+    # A format that is full: the longer surrogates stay whole in the text.
+    docs = spark.createDataFrame([(1, "s")], "doc_id long, text string")
+    laid = docs.select(pii.lay_out(F.lit("S"), F.lit("1-2"), F.lit("345")).alias("x")).first()["x"]
+    assert laid == "3-45"
+
+
 def test_secrets_and_addresses_of_letters_alone_and_of_any_length(spark):
     secrets = [
         "sk-abcdefghijklmnopqrstuvwx", "sk-" + "abcde_fghij-" * 12 + "k", "ghp_" + "abcdef" * 6, "gho_" + "aB" * 30, "AKIA" + "ABCDEFGH" * 2, "0a" * 100,
