@@ -1,9 +1,9 @@
 """Near duplicates by consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 A text's shingles are its runs of five words (a shorter text is one shingle), A-Z as a-z. A shingle weighs
-(1 + ln tf) * idf, idf being the mean over its words of ln(1 + N/df). Document frequencies are of all texts, kept for
-IDF_BUCKETS hash buckets of words, so what every task needs has a fixed size; words that share a bucket share its
-frequency. (Frequencies of whole shingles would make a large group of near copies unlike each other: what its members
+(1 + ln tf) * idf, idf being the mean over its words of ln(1 + N/df). Document frequencies are of all texts and exact by
+word hash: those of at most FREQUENT words are sent to all tasks, the others are joined with the texts that have them, so
+what every task needs has a bound and weights are the same at any size. (Frequencies of whole shingles would make a large group of near copies unlike each other: what its members
 share would weigh little for being shared.)
 
 Improved consistent weighted sampling gives each text BANDS * ROWS samples, each the same for two texts with the
@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from tarnsearch.llm._bytes import U64, mix, pieces, shingles, texts, word_hashes
 from tarnsearch.llm._spark import settle
 from tarnsearch.llm.components import components
+from tarnsearch.llm.lm import frequent
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 5
 HUB_ROUNDS = 2
-IDF_BUCKETS = 1 << 16
+FREQUENT = 1 << 18
 AGREE = 48  # of the samples; at similarity 0.8 a pair has fewer in 5 of a million cases
 _TABLE_BITS = 14
 
@@ -81,15 +82,28 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 class Weigher:
-    """Distinct shingles and weights of texts, with the corpus's document frequencies."""
-
-    def __init__(self, frequency: np.ndarray, n_docs: int):
-        self.idf = np.log1p(n_docs / np.maximum(frequency, 1)).astype(np.float64)
-
-    def __call__(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and weights of texts, with the corpus's document frequencies: of frequent words in ascending
+    order, and of the texts' other words as given with them."""
+
+    def __init__(self, word: np.ndarray, frequency: np.ndarray, n_docs: int):
+        self.word, self.frequency, self.n_docs = word, frequency, n_docs
+
+    def idf(self, h: np.ndarray, rare: pa.Array) -> np.ndarray:
+        """ln(1 + N/df) of words; rare has (word, n) lists."""
+        own = rare.flatten()
+        word, at = np.unique(own.field("word").to_numpy(zero_copy_only=False).astype(U64), return_index=True)
+        df = np.ones(len(h))
+        for known, n in ((self.word, self.frequency), (word, own.field("n").to_numpy(zero_copy_only=False)[at])):
+            if len(known):
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[place] == h
+                df[hit] = n[place[hit]]
+        return np.log1p(self.n_docs / df)
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray, rare: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h, first = word_hashes(raw, off)
         s, to = shingles(h, first, WORDS)
-        sums = np.concatenate([[0.0], np.cumsum(self.idf[(h & U64(IDF_BUCKETS - 1)).astype(np.int64)])])
+        sums = np.concatenate([[0.0], np.cumsum(self.idf(h, rare))])
         for k in range(len(off) - 1):
             n_words, n = int(first[k + 1] - first[k]), int(to[k + 1] - to[k])
             width = min(WORDS, n_words)
@@ -110,47 +124,78 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / rest) if rest > 0 else 0.0
 
 
-def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """(texts with a word of each bucket, texts): partial counts by task, summed; IDF_BUCKETS rows reach the driver at most."""
+def _in_texts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, index of a text, index of a word) for each word of each text, once a text, in order of texts."""
+    h, first = word_hashes(raw, off)
+    own, which = np.unique(h, return_inverse=True)
+    owner = np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(first))
+    pairs = np.unique(owner * max(1, len(own)) + which)
+    return own, pairs // max(1, len(own)), pairs % max(1, len(own))
+
+
+def document_frequency(rows: DataFrame) -> DataFrame:
+    """(word, n): in how many texts each word is, by its hash; tasks send sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(IDF_BUCKETS, dtype=np.int64), 0
+        found, held = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            own, which = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+            return own, np.bincount(which, np.concatenate([n for _, n in found])).astype(np.int64)
+
         for batch in batches:
             for part in pieces(batch, "text"):
-                h, first = word_hashes(*texts(part.column(0)))
-                n += part.num_rows
-                owner = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(first))
-                pairs = np.unique(owner * IDF_BUCKETS + (h & U64(IDF_BUCKETS - 1)).astype(np.int64))
-                counts += np.bincount(pairs % IDF_BUCKETS, minlength=IDF_BUCKETS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], ["bucket", "n"])
-
-    out, n_docs = np.zeros(IDF_BUCKETS, dtype=np.int64), 0
-    for bucket, n in rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        if bucket < 0:
-            n_docs = n
-        else:
-            out[bucket] = n
-    return out, n_docs
+                own, _, which = _in_texts(*texts(part.column(0)))
+                found.append((own, np.bincount(which, minlength=len(own))))
+                held += len(own)
+                if held > 4 << 20:
+                    found = [merged()]
+                    if (held := len(found[0][0])) > 2 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(found[0][0].view(np.int64)), pa.array(found[0][1])], ["word", "n"])
+                        found, held = [], 0
+        if found:
+            own, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    return rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+RARE = "array<struct<word:bigint,n:bigint>>"
+
+
+def rare_words(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """(key_, rare): the (word, n) of each text's words that aren't frequent, for texts that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, _ = shared.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                own, owner, which = _in_texts(*texts(part.column(1)))
+                other = ~np.isin(own, word, assume_unique=True)
+                owner, which = owner[other[which]], which[other[which]]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(own[which].view(np.int64))], ["key", "word"])
+
+    found = rows.select("key", "text").mapInArrow(run, "key string, word long")
+    return found.join(counts, "word").groupBy(F.col("key").alias("key_")).agg(F.collect_set(F.struct("word", "n")).alias("rare"))
 
 
-def signatures(rows: DataFrame, frequency: np.ndarray, n_docs: int) -> DataFrame:
-    """(doc_id, key, bands, sample bytes, total weight) of (doc_id, key, text); a text without words has no bands."""
+def signatures(rows: DataFrame, shared, n_docs: int) -> DataFrame:
+    """(key, name, bands, sample bytes, total weight) of (key, name, text, rare); a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, draws = Weigher(frequency, n_docs), _draws()
+        weigh, draws = Weigher(*shared.value, n_docs), _draws()
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 keys, low, total = [], [], []
-                for own, w in weigh(*texts(part.column(2))):
+                for own, w in weigh(*texts(part.column(2)), part.column(3)):
                     found = samples(own, np.log(w).astype(np.float32), draws) if len(own) else np.zeros(0, U64)
                     keys.append(bands(found) if len(own) else [])
                     low.append(found.astype(np.uint8).view(np.int8))
                     total.append(w.sum())
                 cols = [part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int8())), pa.array(total, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "bands", "low", "weight"])
+                yield pa.RecordBatch.from_arrays(cols, ["key", "name", "bands", "low", "weight"])
 
-    return rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, bands array<long>, low array<tinyint>, weight double")
+    return rows.select("key", "name", "text", "rare").mapInArrow(run, "key string, name long, bands array<long>, low array<tinyint>, weight double")
 
 
 def alike(low_a: Column, low_b: Column, weight_a: Column, weight_b: Column, least: float) -> Column:
@@ -159,26 +204,27 @@ def alike(low_a: Column, low_b: Column, weight_a: Column, weight_b: Column, leas
     return (F.least(weight_a, weight_b) >= F.greatest(weight_a, weight_b) * (least - 1e-9)) & (agree >= AGREE)
 
 
-def verify(pairs: DataFrame, found: DataFrame, frequency: np.ndarray, n_docs: int, least: float) -> DataFrame:
+def verify(pairs: DataFrame, found: DataFrame, shared, n_docs: int, least: float) -> DataFrame:
     """(a, b, linked) for each pair of keys: whether the texts' weighted Jaccard similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Weigher(frequency, n_docs)
+        weigh = Weigher(*shared.value, n_docs)
         kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                if new := {k: t for k, t in zip(a + b, pa.concat_arrays([part.column(2), part.column(3)]), strict=True) if k not in kept}:
+                if new := {k: i for i, k in enumerate(a + b) if k not in kept}:
                     if len(kept) > 256:
                         kept = {k: kept[k] for k in {*a, *b} & kept.keys()}
-                    kept |= zip(new, weigh(*texts(pa.array([t.as_py() for t in new.values()], pa.string()))), strict=True)
+                    text, rare = (pa.concat_arrays([part.column(x), part.column(x + 1)]).take(pa.array(new.values(), pa.int64())) for x in (2, 4))
+                    kept |= zip(new, weigh(*texts(text), rare), strict=True)
                 linked = [similarity(kept[x], kept[y]) >= least for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    one = found.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    two = found.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    one = found.select(F.col("key").alias("a"), F.col("text").alias("text_a"), F.col("rare").alias("rare_a"))
+    two = found.select(F.col("key").alias("b"), F.col("text").alias("text_b"), F.col("rare").alias("rare_b"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b", "rare_a", "rare_b")
     return both.mapInArrow(run, "a string, b string, linked boolean")
 
 
@@ -192,16 +238,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """
     key = F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.concat(F.lit("null:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    frequency, n_docs = document_frequency(rows)
-    signed = settle(signatures(rows, frequency, n_docs))
-    named = signed.groupBy("key").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("weight").alias("weight"))
-    nodes = settle(named)
+    n_docs = rows.count()
+    counts = settle(document_frequency(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(counts, FREQUENT))
+    named = rows.groupBy("key").agg(F.min("doc_id").alias("name"), F.first("text").alias("text"))
+    rare = settle(rare_words(named, counts, shared))
+    with_rare = lambda x: x.join(rare, F.col("key") == F.col("key_"), "left").withColumn("rare", F.coalesce("rare", F.array().cast(RARE))).drop("key_")
+    nodes = settle(signatures(with_rare(named), shared, n_docs))
     spread = nodes.where(F.col("name").isNotNull()).select("key", "low", "weight", F.explode("bands").alias("band"))
     full = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band_"))
     members = settle(spread.join(full, F.col("band") == F.col("band_")).select("band", "key", "low", "weight"))
     needed = members.select("key").distinct().join(nodes.select("key", "name"), "key").select(F.col("key").alias("key_"), "name")
     found = rows.join(needed, (F.col("doc_id") == F.col("name")) & (F.col("key") == F.col("key_"))).select("key", "text")
-    found = settle(found)
+    found = settle(with_rare(found))
 
     links = tried = joined = None
     for k in range(HUB_ROUNDS + 1):
@@ -222,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        done = settle(verify(pairs, found, frequency, n_docs, least))
+        done = settle(verify(pairs, found, shared, n_docs, least))
         tried = done.select("a", "b") if tried is None else tried.unionAll(done.select("a", "b"))
         new = done.where("linked").select("a", "b")
         links = new if links is None else links.unionAll(new)
@@ -231,7 +280,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     named = settle(named)
     least_id = named.groupBy("component").agg(F.min(F.struct("name", "key")).alias("low")).select(F.col("component").alias("of"), "low")
     named = named.join(least_id, F.col("component") == F.col("of")).select(F.col("key").alias("key_"), F.col("low.name").alias("class_id"), F.col("low.key").alias("bears"))
-    out = signed.select("doc_id", "key").join(named, F.col("key") == F.col("key_"))
+    out = rows.select("doc_id", "key").join(named, F.col("key") == F.col("key_"))
     return out.select("doc_id", "key", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("bears"))).alias("first"))
 
 

@@ -1,5 +1,6 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from tarnsearch.llm import neardup as nd
 from tarnsearch.llm.components import components
@@ -35,6 +36,25 @@ def test_groups_of_near_copies(spark):
                 assert got[i] != got[j]
 
 
+def test_weights_are_of_exact_document_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(nd, "FREQUENT", 8)  # the rare words' join is used too
+    rng = random.Random(9)
+    # More words than any table of fixed size has room for; the texts to weigh come last.
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(4000))) for i in range(50)]
+    rows += [(100 + i, prose(rng, 30) + f" w{i}x7 rare{i}") for i in range(20)] + [(200, None), (201, "")]
+    df = Counter(w for _, t in rows for w in set((t or "").lower().split()))
+    seen = []
+    real = nd.signatures
+    monkeypatch.setattr(nd, "signatures", lambda *a: seen.append(out := real(*a)) or out)
+    assert nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    got = {r["name"]: r["weight"] for r in seen[0].collect()}
+    for i, t in rows:
+        w = (t or "").split()
+        tf = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        want = sum((1 + math.log(n)) * sum(math.log1p(len(rows) / df[x]) for x in s) / 5 for s, n in tf.items())
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_edges(edge, none):
     got = defaultdict(set)
     for r in nd.classes(edge).collect():
