@@ -3,7 +3,12 @@
 Tokens are runs of ASCII letters and digits and non-ASCII characters, A-Z as a-z. A seed is the hash of the tokens under
 the ones of a fixed mask; the zeros' tokens may differ. Documents' seeds are joined with the benchmark's, and each hit's
 alignment of an item with a document is verified around the hit: of the aligned tokens the best stretch is taken, equal
-tokens counting 1 and others -MISMATCH, and it is an overlap if it has MIN_TOKENS equal tokens (of a shorter item: all).
+tokens counting 1 and others -MISMATCH, and it is an overlap if it has MIN_TOKENS equal tokens, or of an item for which
+that is less a SHARE of its tokens. From the first equal token to the last it is an overlap too if so many are equal and
+they are a SHARE of it.
+
+Items of which a SHARE is at most MIN_TOKENS tokens have seeds of their own: with m tokens that may differ an item is cut
+into m + 2 parts, and two of them at least are equal, so the seeds are all pairs of parts and none is missed.
 
 The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text (a longer item is a block of its own), so
 what is broadcast has a bound whatever the benchmark's size; each block is one pass over the documents.
@@ -11,7 +16,9 @@ what is broadcast has a bound whatever the benchmark's size; each block is one p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +29,7 @@ from tarnsearch.llm._bytes import LOWER, U64, mix, pieces, powers, prefix, span_
 
 MASKS = ("111010010111", "110110011011", "101101110101")
 MIN_TOKENS = 13
+SHARE = 0.8
 MISMATCH = 3
 BLOCK_BYTES = 8 << 20
 _BITS = 22
@@ -48,22 +56,43 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out + U64(int(mask, 2)))
 
 
+def needed(n: int) -> int:
+    """How many tokens of an item of n tokens must be equal."""
+    return min(MIN_TOKENS, math.ceil(SHARE * n - 1e-9))
+
+
+def own_masks(n: int) -> list[tuple[int, str]]:
+    """(first token, mask) of the seeds of a short item of n tokens."""
+    parts = np.array_split(np.arange(n), n - needed(n) + 2)
+    out = []
+    for two in combinations(parts, 2):
+        on = np.concatenate(two)
+        if len(on):
+            out.append((int(on[0]), "".join("1" if k in on else "0" for k in range(on[0], on[-1] + 1))))
+    return out
+
+
 class Block:
-    """The seeds of some benchmark items. Items shorter than the masks have one seed of all their tokens."""
+    """The seeds of some benchmark items: of the fixed masks at each token, and of short items by their own masks."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         raw, off = texts(pa.array([t for _, t in items], pa.string()))
         h, first = tokens(raw, off)
         self.ids = [i for i, _ in items]
         self.items = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.masks = list(MASKS) + sorted({"1" * n for n in map(len, self.items) if 0 < n < len(MASKS[0])})
-        found: list[tuple[np.ndarray, int, int]] = []
+        seeded: dict[str, list[tuple[np.ndarray, int, np.ndarray]]] = {mask: [] for mask in MASKS}
+        for i, x in enumerate(self.items):
+            for mask in MASKS:
+                s = seeds(x, mask)
+                seeded[mask].append((s, i, np.arange(len(s))))
+            if 0 < len(x) and SHARE * len(x) <= MIN_TOKENS:
+                for at, mask in own_masks(len(x)):
+                    seeded.setdefault(mask, []).append((seeds(x[at : at + len(mask)], mask), i, np.array([at])))
         self.found = {}
-        for mask in self.masks:
-            found = [(seeds(x, mask), i) for i, x in enumerate(self.items) if (len(x) == len(mask) if mask not in MASKS else len(x) >= len(mask))]
-            keys = np.concatenate([s for s, _ in found]) if found else np.zeros(0, U64)
-            item = np.concatenate([np.full(len(s), i) for s, i in found]) if found else np.zeros(0, np.int64)
-            place = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, np.int64)
+        for mask, found in seeded.items():
+            keys = np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, U64)
+            item = np.concatenate([np.full(len(s), i) for s, i, _ in found]) if found else np.zeros(0, np.int64)
+            place = np.concatenate([p for _, _, p in found]) if found else np.zeros(0, np.int64)
             order = np.argsort(keys, kind="stable")
             likely = np.zeros(1 << _BITS, dtype=bool)
             likely[keys >> U64(64 - _BITS)] = True
@@ -96,8 +125,12 @@ class Block:
             low = np.minimum.accumulate(gain)
             end = int(np.argmax(gain - low))
             begin = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
-            same = int(equal[begin:end].sum())
-            if same >= min(MIN_TOKENS, len(item)) and (i not in best or same > best[i][3]):
+            same, least = int(equal[begin:end].sum()), needed(len(item))
+            if same < least <= equal.sum():
+                on = np.flatnonzero(equal)
+                if len(on) >= SHARE * (on[-1] + 1 - on[0]) - 1e-9:
+                    begin, end, same = int(on[0]), int(on[-1]) + 1, len(on)
+            if same >= least and (i not in best or same > best[i][3]):
                 best[i] = i, a + shift + begin, end - begin, same
         return list(best.values())
 

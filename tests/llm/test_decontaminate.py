@@ -1,6 +1,11 @@
+import math
 import random
+from itertools import combinations
+
+import pyarrow as pa
 
 from tarnsearch.llm import decontaminate as dc
+from tarnsearch.llm._bytes import texts
 
 from .conftest import prose
 
@@ -59,6 +64,23 @@ def test_agrees_with_all_alignments_and_in_blocks(spark, monkeypatch):
     assert {r["item_id"] for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in truth}
 
 
+def test_short_items_with_replaced_words_are_found():
+    rng = random.Random(12)
+    for n in range(1, 17):
+        item = [f"item{k}" for k in range(n)]
+        block = dc.Block([(1, " ".join(item))])
+        for wrong in range(n + 1):
+            for at in combinations(range(n), wrong) if wrong < 3 else [rng.sample(range(n), wrong) for _ in range(20)]:
+                words = [f"doc{k}" for k in range(30)]
+                words[9:9] = ["other" if k in at else w for k, w in enumerate(item)]
+                h, _ = dc.tokens(*texts(pa.array([" ".join(words)])))
+                found = block.overlaps(h)
+                assert bool(found) == (n - wrong >= min(13, math.ceil(n * 4 / 5))), (n, at)
+    sixteen = ["other" if k in (1, 14) else f"item{k}" for k in range(16)]
+    h, _ = dc.tokens(*texts(pa.array([" ".join(sixteen)])))
+    assert dc.Block([(1, " ".join(f"item{k}" for k in range(16)))]).overlaps(h) == [(0, 0, 16, 14)]
+
+
 def test_edges(spark, edge, none, edge_rows):
     bench = spark.createDataFrame([(1, edge_rows[0][1]), (None, edge_rows[10][1])], "item_id long, text string")
     got = sorted(str(r["doc_id"]) for r in dc.find(edge, bench).collect())
