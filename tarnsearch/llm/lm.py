@@ -4,9 +4,9 @@ A text is its words, A-Z as a-z, with one space between them, and its end: what
 each bit of its UTF-8 bytes, and of a byte 0 that ends it, a probability. Predictors are counts of
 zeros and ones after contexts of one to four bytes and of the word so far (its last five bytes at most), in hashed tables
 of fixed size that are summed over all training texts. Their predictions are mixed in the logistic domain by weights that
-gates choose: by predictor, place of the bit in its byte, and how much was seen in the context. Weights learn online, by
-gradient steps in the order of the texts of a task, with each text's own bits left out of the counts; tasks' weights are
-averaged by bytes. A last table refines the mixture by what followed such predictions, learned in the same pass.
+gates choose: by predictor, place of the bit in its byte, and how much was seen in the context. Weights learn in batches:
+a task gathers grams until two million distinct ones are held and takes gradient steps over each once, weighted by its
+count, in sorted order, 32,768 a step, with one occurrence left out of the counts. Tasks' weights are averaged by bytes. A last table refines the mixture by what followed such predictions, learned in the same pass.
 
 What tasks hold has a fixed size: tables, weights, and a cache of costs of (context, byte), since texts repeat them.
 
