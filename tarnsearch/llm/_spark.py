@@ -10,22 +10,46 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("tarnsearch.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tarnsearch.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tarnsearch-")
         spark.conf.set("tarnsearch.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and any executor can be lost."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and any executor can be lost.
+
+    The write's own shuffle files go when it ends, by Spark's setting for that.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing lazy refers to it any more."""
+    for x in tables:
+        path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(x._settled_at)
+        path.getFileSystem(x.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

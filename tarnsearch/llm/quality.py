@@ -6,7 +6,9 @@ smoothed share of the good texts' indicators and of the bad texts'; rows have un
 loss by coordinate descent in the dual, are drawn towards their mean size, and margins become probabilities by a logistic
 curve that is fitted on sample rows the weights haven't seen.
 
-The fit uses a bounded sample: at most about FIT_ROWS labelled rows, in seeded hash order. Scores cover all rows.
+The fit uses a bounded sample: at most about FIT_ROWS labelled rows, in seeded hash order; one executor task fits it.
+Scores cover all rows. Null, empty and repeated texts are scored like any other; null ids are never learned from; without
+labels, or with labels of one kind only, all rows have one score.
 """
 
 from __future__ import annotations
@@ -73,47 +75,51 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.slope * self.margin(own) + self.shift))))
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: np.ndarray, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear hinge-loss model; cost bounds each row's dual variable."""
-    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+def dual_descent(flat: np.ndarray, values: np.ndarray, to: np.ndarray, chosen: np.ndarray, y: np.ndarray, size: int, cost: np.ndarray, epochs: int = 12, seed: int = 5, least: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear hinge-loss model over the chosen rows; cost bounds each row's dual variable.
+
+    Row i has the features flat[to[i]:to[i + 1]] and their values. It ends when no variable moved by ``least`` in a round.
+    """
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(to) - 1)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
-            new = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i])
+        for i in chosen[rng.permutation(len(chosen))]:
+            own, v = flat[to[i] : to[i + 1]], values[to[i] : to[i + 1]]
+            gradient = y[i] * (float(w[own] @ v) + bias) - 1.0
+            new = min(max(alpha[i] - gradient / (float(v @ v) + 1.0), 0.0), cost[i])
             if (step := (new - alpha[i]) * y[i]) != 0.0:
                 alpha[i] = new
-                w[rows[i]] += step * values[i]
+                w[own] += step * v
                 bias += step
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < least:
             break
     return w, bias
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, cost: float = 1.0, mean_share: float = 0.6) -> Model:
-    """A model from distinct features and labels 0 or 1. Without both labels it scores the labels' mean."""
+    """A model from distinct features and labels 0 or 1. Without both labels it scores the labels' mean. ``rows`` is emptied."""
     size, y = (1 << BITS) + SHARES, np.where(labels > 0, 1.0, -1.0)
     if not len(rows) or len(set(y.tolist())) < 2:
         share = (float((y > 0).sum()) + 1.0) / (len(y) + 2.0)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, math.log(share / (1 - share)))
-    counts = {s: np.full(size, smooth) for s in (1.0, -1.0)}
-    for own, s in zip(rows, y, strict=True):
-        counts[s][own] += 1.0
-    ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    to = np.concatenate([[0], np.cumsum([len(own) for own in rows])])
+    flat = np.concatenate(rows)
+    rows.clear()
+    of = np.repeat(y, np.diff(to))
+    good, bad = (np.bincount(flat[of == s], minlength=size) + smooth for s in (1.0, -1.0))
+    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     ratio[1 << BITS :] *= REPEAT_WEIGHT
-    values = []
-    for own in rows:
-        v = ratio[own]
-        n = math.sqrt(float(v @ v))
-        values.append(v / n if n else v)
-    seen = np.arange(len(rows)) % 4 != 3
+    values = ratio.astype(np.float32)[flat]
+    for a, b in zip(to[:-1], to[1:], strict=True):
+        if n := float(np.linalg.norm(values[a:b])):
+            values[a:b] /= n
+    seen = np.arange(len(y)) % 4 != 3
     balance = np.where(y > 0, cost, cost * max(1.0, (y > 0).sum() / max(1, (y < 0).sum())))
 
     def weights(chosen: np.ndarray) -> tuple[np.ndarray, float]:
-        w, bias = dual_descent([rows[i] for i in chosen], [values[i] for i in chosen], y[chosen], size, balance[chosen])
+        w, bias = dual_descent(flat, values, to, chosen, y, size, balance)
         used = np.abs(w) > 0
         mean = np.abs(w[used]).mean() if used.any() else 0.0
         return (1 - mean_share) * mean * (w != 0) + mean_share * w if mean_share < 1 else w, bias
@@ -121,9 +127,9 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, co
     # The interpolation's first part gives all features the same weight: the naive Bayes direction.
     w, bias = weights(np.flatnonzero(seen))
     rest = np.flatnonzero(~seen)
-    margins = np.array([float(w[rows[i]] @ values[i]) + bias for i in rest])
+    margins = np.array([float(w[flat[to[i] : to[i + 1]]] @ values[to[i] : to[i + 1]]) + bias for i in rest])
     slope, shift = logistic(margins, y[rest])
-    w, bias = weights(np.arange(len(rows)))
+    w, bias = weights(np.arange(len(y)))
     return Model(w * ratio, ratio * ratio, bias, slope, shift)
 
 
@@ -161,19 +167,33 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
-    """Features are made on the executors; the driver gets the bounded sample's."""
+    """Features are made on the executors, one task fits the bounded sample, and the driver gets the model only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
             for part in pieces(batch, "text"):
                 own = [np.sort(x).astype("<i4").tobytes() for x in grams(*texts(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
 
-    found = sample(docs, labels, label_col).mapInArrow(run, "doc_id long, label int, own binary").collect()
-    found.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    order = np.random.default_rng(3).permutation(len(found))
-    return fit_rows([np.frombuffer(found[i][2], "<i4") for i in order], np.array([found[i][1] for i in order], dtype=int))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            found += zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+        found.sort()
+        order = np.random.default_rng(3).permutation(len(found)).tolist()
+        rows, labels = [np.frombuffer(found[i][2], "<i4") for i in order], np.array([found[i][1] for i in order], dtype=int)
+        found.clear()
+        m = fit_rows(rows, labels)
+        parts = [np.asarray(x, "<f8").tobytes() for x in (m.weight, m.square, [m.bias, m.slope, m.shift])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["weight", "square", "rest"])
+
+    sent = sample(docs, labels, label_col).mapInArrow(features, "doc_id long, label int, own binary").repartition(1)
+    found = sent.mapInArrow(run, "weight binary, square binary, rest binary").first()
+    if found is None:  # an empty table needs no task
+        return fit_rows([], np.zeros(0, dtype=int))
+    weight, square, rest = (np.frombuffer(bytes(x), "<f8") for x in found)
+    return Model(weight, square, *map(float, rest))
 
 
 def score_column(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

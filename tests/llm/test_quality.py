@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tarnsearch.llm import quality
 
 from .conftest import prose
@@ -28,3 +30,22 @@ def test_held_out_scores_and_edges(spark, edge, none):
     assert quality.score_column(none, model).count() == 0
     untaught = quality.fit(none, marks.limit(0))
     assert {r["score"] for r in quality.score_column(edge, untaught).collect()} == {0.5}
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The gap between the primal and the dual objective closes, as it does at the optimum only."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(60, rng.integers(1, 12), replace=False)) for _ in range(200)]
+    to, flat = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows)
+    values, y = rng.normal(size=len(flat)), np.where(rng.random(200) < 0.6, 1.0, -1.0)
+    cost = np.where(y > 0, 1.0, 2.0)
+    w, bias = quality.dual_descent(flat, values, to, np.arange(200), y, 60, cost, epochs=3000, least=1e-10)
+    margins = np.array([w[flat[a:b]] @ values[a:b] + bias for a, b in zip(to, to[1:])])
+    loss = (cost * np.maximum(0, 1 - y * margins)).sum()
+    primal = (w @ w + bias * bias) / 2 + loss
+    # At the optimum the dual objective, sum(alpha) - |w|^2 / 2, equals it, and sum(alpha) = |w|^2 + loss then.
+    for _ in range(300):
+        move = rng.normal(size=61) * 10 ** rng.uniform(-4, 0)
+        v, c = w + move[:60], bias + move[60]
+        m = np.array([v[flat[a:b]] @ values[a:b] + c for a, b in zip(to, to[1:])])
+        assert (v @ v + c * c) / 2 + (cost * np.maximum(0, 1 - y * m)).sum() >= primal - 1e-6
