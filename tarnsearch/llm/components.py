@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm._spark import settle
+from tarnsearch.llm._spark import discard, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        now = settle(_stars(_stars(now, True), False))
+        last, now = now, settle(_stars(_stars(now, True), False))
+        discard(last)
         after = digest(now)
         if after == before:
             break

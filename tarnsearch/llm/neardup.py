@@ -9,10 +9,12 @@ share would weigh little for being shared.)
 Improved consistent weighted sampling gives each text BANDS * ROWS samples, each the same for two texts with the
 probability of their weighted Jaccard similarity. Texts that agree in all samples of a band are candidates.
 
-Exact copies are first made one node. Inside a band's bucket no pairs are listed at first: for HUB_ROUNDS rounds the
-members are compared with one member, drawn by a seeded hash, and verified links make components. What remains is exact:
-members of a bucket that are still in different components are compared with each other, unless they have been. Before
-texts are compared, a pair must agree in AGREE samples and its total weights, whose ratio bounds the similarity, be close.
+Exact copies are first made one node. Inside a band's bucket no pairs are listed at first: for HUB_ROUNDS rounds members
+are compared with hubs, and verified links join components. A hub is a member that shares many buckets with many others;
+the first round has one a bucket, later ones two: another of the hub's component, and one of what that component lacks.
+What remains is exact: members of a bucket that are still in different components are compared with each other, unless
+they have been, or unless a bound of their similarity is too small. Bounds are never under the true value: the lesser
+total weight by the greater, and sums over BINS bins of shingles of the lesser weight of a bin.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm._bytes import U64, mix, pieces, shingles, texts, word_hashes
-from tarnsearch.llm._spark import settle
+from tarnsearch.llm._spark import discard, settle
 from tarnsearch.llm.components import components
 from tarnsearch.llm.lm import frequent
 
@@ -33,9 +35,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 5
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 FREQUENT = 1 << 18
-AGREE = 48  # of the samples; at similarity 0.8 a pair has fewer in 5 of a million cases
+BINS = 128
+UNIT = 16  # of a bin's weight, rounded up
 _TABLE_BITS = 14
 
 
@@ -179,33 +182,42 @@ def rare_words(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
     return found.join(counts, "word").groupBy(F.col("key").alias("key_")).agg(F.collect_set(F.struct("word", "n")).alias("rare"))
 
 
+def sketch(own: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights by bin of the shingle's hash, in 1/UNIT, rounded up."""
+    return np.ceil(np.bincount((own >> U64(57)).astype(np.intp), w, BINS) * UNIT + 1e-6).astype(np.int32)
+
+
 def signatures(rows: DataFrame, shared, n_docs: int) -> DataFrame:
-    """(key, name, bands, sample bytes, total weight) of (key, name, text, rare); a text without words has no bands."""
+    """(key, name, bands, bins, total weight) of (key, name, text, rare); a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, draws = Weigher(*shared.value, n_docs), _draws()
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                keys, low, total = [], [], []
+                keys, bins, total = [], [], []
                 for own, w in weigh(*texts(part.column(2)), part.column(3)):
-                    found = samples(own, np.log(w).astype(np.float32), draws) if len(own) else np.zeros(0, U64)
-                    keys.append(bands(found) if len(own) else [])
-                    low.append(found.astype(np.uint8).view(np.int8))
+                    keys.append(bands(samples(own, np.log(w).astype(np.float32), draws)) if len(own) else [])
+                    bins.append(sketch(own, w))
                     total.append(w.sum())
-                cols = [part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int8())), pa.array(total, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "name", "bands", "low", "weight"])
+                cols = [part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32())), pa.array(total, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "name", "bands", "bins", "weight"])
+
+    return rows.select("key", "name", "text", "rare").mapInArrow(run, "key string, name long, bands array<long>, bins array<int>, weight double")
+
 
-    return rows.select("key", "name", "text", "rare").mapInArrow(run, "key string, name long, bands array<long>, low array<tinyint>, weight double")
+def near_weights(weight_a: Column, weight_b: Column, least: float) -> Column:
+    """Whether total weights allow a similarity of ``least``."""
+    return F.least(weight_a, weight_b) >= F.greatest(weight_a, weight_b) * (least - 1e-9)
 
 
-def alike(low_a: Column, low_b: Column, weight_a: Column, weight_b: Column, least: float) -> Column:
-    """Whether a pair can be similar: total weights bound the similarity, and enough samples agree in a byte."""
-    agree = F.aggregate(F.zip_with(low_a, low_b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return (F.least(weight_a, weight_b) >= F.greatest(weight_a, weight_b) * (least - 1e-9)) & (agree >= AGREE)
+def near_bins(bins_a: Column, bins_b: Column, weight_a: Column, weight_b: Column, least: float) -> Column:
+    """Whether weights by bin allow a similarity of ``least``: what two texts share is at most the sum of lesser weights."""
+    both = F.aggregate(F.zip_with(bins_a, bins_b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return both >= (weight_a + weight_b) * (UNIT * least / (1 + least) - 1e-6)
 
 
 def verify(pairs: DataFrame, found: DataFrame, shared, n_docs: int, least: float) -> DataFrame:
-    """(a, b, linked) for each pair of keys: whether the texts' weighted Jaccard similarity is ``least`` or more."""
+    """(a, b, component_a, component_b, linked) of pairs: whether the texts' weighted Jaccard similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Weigher(*shared.value, n_docs)
@@ -217,15 +229,44 @@ def verify(pairs: DataFrame, found: DataFrame, shared, n_docs: int, least: float
                 if new := {k: i for i, k in enumerate(a + b) if k not in kept}:
                     if len(kept) > 256:
                         kept = {k: kept[k] for k in {*a, *b} & kept.keys()}
-                    text, rare = (pa.concat_arrays([part.column(x), part.column(x + 1)]).take(pa.array(new.values(), pa.int64())) for x in (2, 4))
+                    text, rare = (pa.concat_arrays([part.column(x), part.column(x + 1)]).take(pa.array(new.values(), pa.int64())) for x in (4, 6))
                     kept |= zip(new, weigh(*texts(text), rare), strict=True)
                 linked = [similarity(kept[x], kept[y]) >= least for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(linked, pa.bool_())], ["a", "b", "component_a", "component_b", "linked"])
 
     one = found.select(F.col("key").alias("a"), F.col("text").alias("text_a"), F.col("rare").alias("rare_a"))
     two = found.select(F.col("key").alias("b"), F.col("text").alias("text_b"), F.col("rare").alias("rare_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b", "rare_a", "rare_b")
-    return both.mapInArrow(run, "a string, b string, linked boolean")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "component_a", "component_b", "text_a", "text_b", "rare_a", "rare_b")
+    return both.mapInArrow(run, "a string, b string, component_a string, component_b string, linked boolean")
+
+
+def hub_pairs(at: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b, component_a, component_b): members of each open bucket with its hubs of round ``k``, once each."""
+    rank = F.col("central") * (1.0 + F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1 << 20)) / float(1 << 20) * min(k, 1))
+    member = F.struct(rank.alias("rank"), "key", "component", "weight")
+    open_ = at.groupBy("band").agg(F.max(F.struct("central", "key", "component", "weight")).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.where("low <> high").select(F.col("band").alias("band_"), "first")
+    at = at.join(open_, F.col("band") == F.col("band_"))
+    if k:
+        main = F.col("component") == F.col("first.component")
+        hubs = at.groupBy("band_").agg(F.max(F.when(main, member)).alias("main"), F.max(F.when(~main, member)).alias("rest"))
+        hubs = hubs.select(F.col("band_").alias("of"), F.explode(F.array("main", "rest")).alias("hub"))
+        at = at.where(~main).join(hubs, F.col("band_") == F.col("of"))
+    else:
+        at = at.withColumn("hub", F.col("first"))
+    one, two = (F.struct(x("key").alias("key"), x("component").alias("component")) for x in (F.col, lambda c: F.col(f"hub.{c}")))
+    pairs = at.where("component <> hub.component").where(near_weights(F.col("weight"), F.col("hub.weight"), least)).select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.component").alias("component_a"), F.col("y.component").alias("component_b")).distinct()
+
+
+def other_pairs(at: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """hub_pairs() of all members of a bucket in different components whose bounds allow the similarity."""
+    open_ = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("band").alias("band_"))
+    at = at.join(open_, F.col("band") == F.col("band_")).join(bins, F.col("key") == F.col("key_")).select("band", "key", "component", "weight", "bins")
+    one, two = (at.select(*(F.col(c).alias(f"{c}_{x}") for c in at.columns)) for x in "ab")
+    may = near_weights(F.col("weight_a"), F.col("weight_b"), least) & near_bins(F.col("bins_a"), F.col("bins_b"), F.col("weight_a"), F.col("weight_b"), least)
+    pairs = one.join(two, F.expr("band_a = band_b and key_a < key_b and component_a <> component_b") & may)
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "component_a", "component_b").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -245,39 +286,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rare = settle(rare_words(named, counts, shared))
     with_rare = lambda x: x.join(rare, F.col("key") == F.col("key_"), "left").withColumn("rare", F.coalesce("rare", F.array().cast(RARE))).drop("key_")
     nodes = settle(signatures(with_rare(named), shared, n_docs))
-    spread = nodes.where(F.col("name").isNotNull()).select("key", "low", "weight", F.explode("bands").alias("band"))
-    full = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band_"))
-    members = settle(spread.join(full, F.col("band") == F.col("band_")).select("band", "key", "low", "weight"))
+    spread = nodes.where(F.col("name").isNotNull()).select("key", "weight", F.explode("bands").alias("band"))
+    full = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("band_"), "n")
+    spread = spread.join(full, F.col("band") == F.col("band_")).select("band", "key", "weight", "n")
+    central = spread.groupBy(F.col("key").alias("key_")).agg(F.sum("n").alias("central"))
+    members = settle(spread.join(central, F.col("key") == F.col("key_")).select("band", "key", "weight", "central"))
     needed = members.select("key").distinct().join(nodes.select("key", "name"), "key").select(F.col("key").alias("key_"), "name")
     found = rows.join(needed, (F.col("doc_id") == F.col("name")) & (F.col("key") == F.col("key_"))).select("key", "text")
     found = settle(with_rare(found))
 
-    links = tried = joined = None
+    joined = settle(members.select(F.col("key").alias("node"), F.col("key").alias("component")).distinct())
+    tested = []
     for k in range(HUB_ROUNDS + 1):
-        at = members
-        if joined is not None:
-            at = at.join(joined, F.col("key") == F.col("node"), "left").select("band", "key", "low", "weight", F.coalesce("component", "key").alias("component"))
-        else:
-            at = at.withColumn("component", F.col("key"))
-        open_ = at.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "component", "low", "weight")).alias("hub"))
-        open_ = open_.where("least <> most").select(F.col("band").alias("band_"), "hub")
-        at = at.join(open_, F.col("band") == F.col("band_"))
-        if k < HUB_ROUNDS:
-            pairs = at.where("component <> hub.component").where(alike(F.col("low"), F.col("hub.low"), F.col("weight"), F.col("hub.weight"), least)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
-        else:
-            one, two = (at.select(*(F.col(c).alias(f"{c}_{x}") for c in ("band", "key", "component", "low", "weight"))) for x in "ab")
-            may = alike(F.col("low_a"), F.col("low_b"), F.col("weight_a"), F.col("weight_b"), least)
-            pairs = one.join(two, F.expr("band_a = band_b and key_a < key_b and component_a <> component_b") & may).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        done = settle(verify(pairs, found, shared, n_docs, least))
-        tried = done.select("a", "b") if tried is None else tried.unionAll(done.select("a", "b"))
-        new = done.where("linked").select("a", "b")
-        links = new if links is None else links.unionAll(new)
-        joined = components(links)
-    named = nodes.select("key", "name").join(joined, F.col("key") == F.col("node"), "left").select("key", "name", F.coalesce("component", "key").alias("component"))
-    named = settle(named)
+        at = members.join(joined, F.col("key") == F.col("node")).select("band", "key", "weight", "central", "component")
+        pairs = hub_pairs(at, k, least) if k < HUB_ROUNDS else other_pairs(at, nodes.select(F.col("key").alias("key_"), "bins"), least)
+        for x in tested:
+            pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(settle(verify(pairs, found, shared, n_docs, least)))
+        links = tested[-1].where("linked").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+        merged = components(links).select(F.col("node").alias("of"), F.col("component").alias("now"))
+        before = joined
+        joined = settle(before.join(merged, F.col("component") == F.col("of"), "left").select("node", F.coalesce("now", "component").alias("component")))
+        discard(before)
+    named = settle(nodes.select("key", "name").join(joined, F.col("key") == F.col("node"), "left").select("key", "name", F.coalesce("component", "key").alias("component")))
+    discard(counts, rare, nodes, members, found, joined, *tested)
+    shared.destroy()
     least_id = named.groupBy("component").agg(F.min(F.struct("name", "key")).alias("low")).select(F.col("component").alias("of"), "low")
     named = named.join(least_id, F.col("component") == F.col("of")).select(F.col("key").alias("key_"), F.col("low.name").alias("class_id"), F.col("low.key").alias("bears"))
     out = rows.select("doc_id", "key").join(named, F.col("key") == F.col("key_"))
@@ -285,12 +318,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, one of each class; of repeated rows of that one, one."""
-    from pyspark.sql import Window
+    """The documents, all columns, one of each class; of repeated rows with that id and text one by the columns' hash.
 
-    stay = classes(docs, id_col, text_col).where("first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).distinct()
+    Nulls, empty texts and repeated rows are as in classes(); an empty table stays one.
+    """
+    stay = classes(docs, id_col, text_col).where("first").groupBy(F.col("key").alias("of_")).agg(F.min("doc_id").alias("id_"))
     key = F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.concat(F.lit("null:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumn("__key", key)
-    rows = rows.join(stay, (F.col("__key") == F.col("__of")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    again = F.row_number().over(Window.partitionBy("__key", id_col).orderBy(F.lit(0)))
-    return rows.withColumn("__again", again).where("__again = 1").select(*docs.columns)
+    rows = docs.select(key.alias("key_"), F.col(id_col).cast("long").alias("own_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    rows = rows.join(stay, F.col("key_") == F.col("of_")).where(F.col("own_").eqNullSafe(F.col("id_")))
+    return rows.groupBy("key_").agg(F.min_by("row_", F.xxhash64("row_")).alias("row_")).select("row_.*")

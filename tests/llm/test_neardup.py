@@ -45,9 +45,9 @@ def test_weights_are_of_exact_document_frequencies(spark, monkeypatch):
     df = Counter(w for _, t in rows for w in set((t or "").lower().split()))
     seen = []
     real = nd.signatures
-    monkeypatch.setattr(nd, "signatures", lambda *a: seen.append(out := real(*a)) or out)
+    monkeypatch.setattr(nd, "signatures", lambda *a: seen.extend((out := real(*a)).collect()) or out)
     assert nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
-    got = {r["name"]: r["weight"] for r in seen[0].collect()}
+    got = {r["name"]: r["weight"] for r in seen}
     for i, t in rows:
         w = (t or "").split()
         tf = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
@@ -82,3 +82,61 @@ def test_components(spark):
     want = {x: root(x) for e in edges for x in e if e[0] != e[1]}
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_classes_equal_all_pairs(spark):
+    """Components of all pairs of weighted Jaccard similarity 0.8 or more, by plain Python; families are far under it to over it."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6):
+        base = prose(rng, 150).split()
+        for _ in range(30):
+            own = list(base)
+            for _ in range(rng.randint(0, 9)):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(own)))
+    df = Counter(w for _, t in rows for w in set(t.lower().split()))
+    weights = []
+    for _, t in rows:
+        w = t.lower().split()
+        tf = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        weights.append({s: (1 + math.log(n)) * sum(math.log1p(len(rows) / df[x]) for x in s) / 5 for s, n in tf.items()})
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links, near = 0, 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum(min(x, weights[j][s]) for s, x in weights[i].items() if s in weights[j])
+            similar = both / (sum(weights[i].values()) + sum(weights[j].values()) - both)
+            near += 0.6 < similar < 0.8
+            if similar >= 0.8:
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert links > 80 and near > 300  # both sides of the threshold are tried
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+
+
+def test_bounds_are_never_under_the_similarity(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        a, b = (np.sort(rng.choice(pool, 40, replace=False)) for _ in "ab")
+        x, y = (a, rng.random(40) * 9 + 0.1), (b, rng.random(40) * 9 + 0.1)
+        low = np.minimum(nd.sketch(*x), nd.sketch(*y)).sum() / nd.UNIT
+        assert low / (x[1].sum() + y[1].sum() - low) >= nd.similarity(x, y)
+
+
+def test_survivors_do_not_depend_on_partitions(spark):
+    rows = [(1, "a b c d e f g", k % 3) for k in range(6)] + [(2, "a b c d e f g", 9), (3, None, 1), (3, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_ int")
+    got = [sorted(map(tuple, nd.keep_first(docs.repartition(n)).collect()), key=str) for n in (1, 3)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 3]
