@@ -11,42 +11,39 @@ tokens within it are not shared. The rest, windows that end inside the tokens wh
 strings between the first and last cut within such windows are grouped, and where a group has an undecided member, the
 hashes of all its windows go through the same sort and comparison of neighbours.
 
-Sorting in a bucket is Spark's external sort, so a bucket has no bound by memory. Equal keys are told apart by their
-place, so a passage that most texts share is spread over buckets like any other. Hashes have 64 bits (a suffix's later
-tokens 32 each).
+Splitters are keys of a sample of suffixes, so buckets have about BUCKET keys whatever the input's size. A bucket is sorted
+by multikey quicksort, all runs of equal leading tokens at once: each round sorts those by their next token. Keys go from
+task to bucket in bundles. Equal keys are told apart by their place, so a passage that most texts share is spread over
+buckets like any other. Hashes have 64 bits (a suffix's later tokens 32 each).
+
+Copies of a whole text are known beforehand by hash and length: they lose all, and stand in the array once.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
-from collections.abc import Iterator
+import math
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm._bytes import U64, mix, pieces, powers, prefix, span_hash, texts
-from tarnsearch.llm._spark import settle
+from tarnsearch.llm._spark import discard, settle
 
 LENGTH = 400
 WINDOW = 24
 COARSE, FINE = 63, 7  # a cut is where these bits of the window's hash are 0
 TOKENS = 32
+BUCKET = 300_000
+SAMPLED = 100  # keys a bucket
 _REACH = WINDOW + 1  # a cut depends on so many bytes before it
 _PIECE = 1 << 20
-_ID = np.dtype([("rid", ">u8"), ("n", ">u4"), ("i", ">u4")])
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of what is settled: they go once neither Python nor the JVM refers to them."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+_ID = np.dtype([("rid", "<i8"), ("n", "<u4"), ("i", "<u4")])
 
 
 def cuts(sums: np.ndarray, a: int, b: int, bits: int) -> np.ndarray:
@@ -82,114 +79,210 @@ class Text:
         return tokens, np.minimum(upto - np.arange(len(c) - 1), TOKENS)
 
 
-def keys_of(tokens: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.Array:
-    """Suffix keys: the first token in 8 bytes, the others in 4, and the suffix's place, all so that bytes sort alike."""
-    width = 8 + 4 * (sizes - 1) + _ID.itemsize
-    off = np.concatenate([[0], np.cumsum(width)])
-    out = np.zeros(off[-1], dtype=np.uint8)
-    if len(sizes):
-        head = tokens.astype(">u8").view(np.uint8).reshape(-1, 8)
-        out[off[:-1, None] + np.arange(8)] = head
-        for k in range(1, int(sizes.max())):
-            at = np.flatnonzero(sizes > k)
-            out[off[at][:, None] + 4 + 4 * k + np.arange(4)] = head[at + k, :4]
-        ids = ids.astype(_ID)  # concatenation makes the byte order native
-        out[off[1:, None] - _ID.itemsize + np.arange(_ID.itemsize)] = ids.view(np.uint8).reshape(-1, _ID.itemsize)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(out)])
-
-
-def shared_tokens(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Tokens that each key shares with the next one."""
-    n = len(off) - 1
-    out = np.zeros(max(0, n - 1), dtype=np.int32)
-    if n < 2:
+class Keys:
+    """Keys of suffixes: the first token, the later ones in 32 bits each, and the suffix's place.
+
+    A key's bytes are its tokens and then its place, so keys that share tokens are neighbours in the order of bytes.
+    """
+
+    def __init__(self, head: np.ndarray, size: np.ndarray, rest: np.ndarray, ids: np.ndarray):
+        self.head, self.size, self.rest, self.ids = head, size, rest, ids
+        self.at = np.concatenate([[0], np.cumsum(size.astype(np.int64) - 1)])
+
+    @classmethod
+    def of_tokens(cls, tokens: np.ndarray, size: np.ndarray, ids: np.ndarray) -> Keys:
+        """Key k has ``size[k]`` tokens from token k on."""
+        n = size - 1
+        to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.arange(len(n)) + 1, n)
+        return cls(tokens, size.astype(np.uint8), (tokens[to] >> U64(32)).astype(np.uint32), ids)
+
+    def take(self, k: np.ndarray) -> Keys:
+        n = self.size[k].astype(np.int64) - 1
+        to = np.arange(n.sum()) + np.repeat(self.at[k] - (np.cumsum(n) - n), n)
+        return Keys(self.head[k], self.size[k], self.rest[to], self.ids[k])
+
+    def bytes(self, k: int) -> bytes:
+        place = self.ids[k]
+        return self.head[k : k + 1].astype(">u8").tobytes() + self.rest[self.at[k] : self.at[k + 1]].astype(">u4").tobytes() + np.array([place["rid"]], ">i8").tobytes() + np.array([place["n"], place["i"]], ">u4").tobytes()
+
+    def part(self, split: list[bytes]) -> np.ndarray:
+        """Each key's bucket between sorted splitters."""
+        heads = np.frombuffer(b"".join(x[:8] for x in split), ">u8").astype(U64)
+        out = np.searchsorted(heads, self.head, "right")
+        for k in np.flatnonzero(out != np.searchsorted(heads, self.head, "left")).tolist():
+            out[k] = bisect_right(split, self.bytes(k))
+        return out
+
+    def bundles(self, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, keys): texts' ids come once a bundle."""
+        order = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+            own = self.take(order[a:b])
+            text, which = np.unique(own.ids[["rid", "n"]].copy().astype([("rid", "<i8"), ("n", "<u4")]), return_inverse=True)
+            fields = (own.head, own.size, own.rest, which.astype(np.uint32), own.ids["i"], text["rid"], text["n"])
+            yield int(part[order[a]]), np.array([b - a, len(own.rest), len(text)], "<u4").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in fields)
+
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> Keys:
+        """The keys of bundles, each place once."""
+        parts = []
+        for blob in blobs:
+            n, m, t = np.frombuffer(blob, "<u4", 3).tolist()
+            at, out = 12, []
+            for kind, size in (("<u8", n), ("u1", n), ("<u4", m), ("<u4", n), ("<u4", n), ("<i8", t), ("<u4", t)):
+                out.append(np.frombuffer(blob, kind, size, at))
+                at += out[-1].nbytes
+            ids = np.empty(n, _ID)
+            ids["rid"], ids["n"], ids["i"] = out[5][out[3]], out[6][out[3]], out[4]
+            parts.append((out[0], out[1], out[2], ids))
+        all_ = cls(*map(np.concatenate, zip(*parts, strict=True)))
+        name = mix(mix(all_.ids["rid"].view(U64)) + all_.ids["n"].astype(U64) * U64(0x9E3779B97F4A7C15) + all_.ids["i"].astype(U64))
+        once = np.sort(np.unique(name, return_index=True)[1])
+        return all_ if len(once) == len(name) else all_.take(once)
+
+    def shared(self) -> np.ndarray:
+        """How many leading tokens each key shares with another, at most.
+
+        Multikey quicksort in rounds: keys in runs that are equal so far are sorted by run and next token, which parts
+        the runs; a run of one is done.
+        """
+        out = np.zeros(len(self.head), dtype=np.int32)
+        order = np.argsort(self.head, kind="stable")
+        run = np.cumsum(np.diff(self.head[order], prepend=self.head[order[:1]]) != 0)
+        depth = 0
+        while len(order):
+            alike = np.bincount(run)[run] > 1
+            order, run = order[alike], run[alike]
+            depth += 1
+            out[order] = depth
+            more = self.size[order] > depth
+            order, run = order[more], run[more]
+            token = self.rest[self.at[order] + depth - 1]
+            by = np.lexsort((token, run))
+            order, run, token = order[by], run[by], token[by]
+            if len(order):
+                run = np.cumsum(np.concatenate([[False], (run[1:] != run[:-1]) | (token[1:] != token[:-1])]))
         return out
-    size = (np.diff(off) - _ID.itemsize - 8) // 4 + 1
-    both = np.minimum(size[1:], size[:-1])
-    at = np.arange(n - 1)
-    a, b = off[:-2], off[1:-1]
-    at = at[(raw[a[:, None] + np.arange(8)] == raw[b[:, None] + np.arange(8)]).all(1)]
+
+    def end(self, last: bool) -> int:
+        """The least or the greatest key by its bytes."""
+        at = np.flatnonzero(self.head == (self.head.max() if last else self.head.min())).tolist()
+        return (max if last else min)(at, key=self.bytes)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Tokens that two keys share."""
+    x, y = a[:-16], b[:-16]
+    if x[:8] != y[:8]:
+        return 0
     k = 1
-    while len(at):
-        out[at] = k
-        at = at[both[at] > k]
-        x, y = off[at] + 4 + 4 * k, off[at + 1] + 4 + 4 * k
-        at = at[(raw[x[:, None] + np.arange(4)] == raw[y[:, None] + np.arange(4)]).all(1)]
+    while 8 + 4 * k <= min(len(x), len(y)) and x[4 + 4 * k : 8 + 4 * k] == y[4 + 4 * k : 8 + 4 * k]:
         k += 1
-    return out
+    return k
+
 
+_FOUND = "rid long, n long, own binary, part int, first binary, last binary"
 
-def _places(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return raw[off[1:, None] - _ID.itemsize + np.arange(_ID.itemsize)].copy().view(_ID)[:, 0]
 
+def _rows(ids: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    """A row for each text of the places, with (i, r) of each of its own."""
+    order = np.lexsort((ids["n"], ids["rid"]))
+    ids, r = ids[order], r[order]
+    at = np.flatnonzero(np.concatenate([[True], (ids["rid"][1:] != ids["rid"][:-1]) | (ids["n"][1:] != ids["n"][:-1])]))
+    own = np.ascontiguousarray(np.stack([ids["i"], r.astype(np.uint32)], 1))
+    off = np.concatenate([at, [len(ids)]]) * 8
+    blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(own)])
+    none = [None] * len(at)
+    return pa.RecordBatch.from_arrays([pa.array(ids["rid"][at]), pa.array(ids["n"][at].astype(np.int64)), blob, pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], ["rid", "n", "own", "part", "first", "last"])
 
-def _rows(ids: np.ndarray, r: np.ndarray, part: int | None = None, first: list | None = None, last: list | None = None) -> pa.RecordBatch:
-    n = len(ids)
-    cols = [
-        pa.array(ids["rid"].astype(np.uint64).view(np.int64)), pa.array(ids["n"].astype(np.int64)), pa.array(ids["i"].astype(np.int64)), pa.array(r.astype(np.int32)),
-        pa.array([part] * n, pa.int32()), pa.array(first or [None] * n, pa.binary()), pa.array(last or [None] * n, pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(cols, ["rid", "n", "i", "r", "part", "first", "last"])
 
+def places(owns: list[bytes]) -> np.ndarray:
+    """(i, r) of a text's lists."""
+    return np.frombuffer(b"".join(owns), "<u4").reshape(-1, 2)
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """(rid, n, i, r) of the keys that share r >= 1 tokens with another: sort, compare with both neighbours.
 
-    Each bucket's first and last key go to the driver, where buckets meet: two keys a bucket.
+def neighbours(rows: DataFrame, make: Callable[[pa.RecordBatch], Keys], n_keys: int) -> DataFrame:
+    """(rid, n, own): (i, r) of each text's keys that share r >= 1 tokens with another.
+
+    ``make`` gives the keys of a batch of ``rows``, which have a column rid. Splitters are of a sample; each bucket's
+    first and last key go to the driver, where buckets meet: two keys a bucket.
     """
+    spark = rows.sparkSession
+    n_parts = max(math.ceil(n_keys / BUCKET), min(spark.sparkContext.defaultParallelism, math.ceil(n_keys / 20_000)), 1)
+    share = min(1.0, SAMPLED * min(n_parts, 10_000) / max(1, n_keys))
+    of_texts = min(1.0, 20 * share)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", _PIECE):
+                keys = make(part)
+                name = mix(keys.ids["rid"].view(U64) + mix(keys.ids["i"].astype(U64)))
+                chosen = np.flatnonzero(name >> U64(11) < U64(int(share / of_texts * (1 << 53)))).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([keys.bytes(k) for k in chosen], pa.binary())], ["key"])
+
+    split: list[bytes] = []
+    if n_parts > 1:
+        some = rows.where(F.pmod(F.xxhash64("rid", F.lit(10)), F.lit(1 << 30)) < int(of_texts * (1 << 30)))
+        found = sorted(bytes(r[0]) for r in some.mapInArrow(sampled, "key binary").collect())
+        split = sorted({found[len(found) * k // n_parts] for k in range(1, n_parts)}) if found else []
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 4 * _PIECE):
+                keys = make(part)
+                if len(keys.head):
+                    parts, blobs = zip(*keys.bundles(keys.part(split)), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before, first = None, 0, None  # the last key so far and what it shares with the one before it
+        blobs: list[bytes] = []
         for batch in batches:
-            column = batch.column(0)
-            if not len(column):
-                continue
-            first = first if first is not None else column[0].as_py()
-            if held is not None:
-                column = pa.concat_arrays([pa.array([held], pa.binary()), column.cast(pa.binary())])
-            raw, off = texts(column)
-            shared = shared_tokens(raw, off)
-            r = np.maximum(np.concatenate([[before], shared]), np.concatenate([shared, [0]]))[:-1]
-            at = np.flatnonzero(r > 0)
-            if len(at):
-                yield _rows(_places(raw, off)[at], r[at])
-            held, before = column[len(column) - 1].as_py(), int(shared[-1]) if len(shared) else before
-        if held is not None:
-            raw, off = texts(pa.array([held], pa.binary()))
-            yield _rows(_places(raw, off), np.array([before]), TaskContext.get().partitionId(), [first], [held])
-
-    schema = "rid long, n long, i long, r int, part int, first binary, last binary"
-    found = settle(rows.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, schema))
+            blobs += batch.column(1).to_pylist()
+        if not blobs:
+            return
+        keys = Keys.unpacked(blobs)
+        blobs.clear()
+        r = keys.shared()
+        at = np.flatnonzero(r > 0)
+        for a in range(0, len(at), 1 << 20):
+            yield _rows(keys.ids[at[a : a + (1 << 20)]], r[at[a : a + (1 << 20)]])
+        ends = [[keys.bytes(keys.end(last))] for last in (False, True)]
+        none = [None]
+        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array(x, pa.binary()) for x in ends)], ["rid", "n", "own", "part", "first", "last"])
+
+    bundled = rows.mapInArrow(sent, "part int, blob binary").repartitionById(len(split) + 1, F.col("part"))
+    found = settle(bundled.mapInArrow(run, _FOUND))
     ends = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found.where("part is not null").select("part", "first", "last").collect())
     met = []
     for (_, _, last), (_, first, _) in zip(ends, ends[1:], strict=False):
-        raw, off = texts(pa.array([last, first], pa.binary()))
-        if r := int(shared_tokens(raw, off)[0]):
-            met += [(int(p["rid"].astype(np.uint64).view(np.int64)), int(p["n"]), int(p["i"]), r) for p in _places(raw, off)]
-    out = found.where("r > 0").select("rid", "n", "i", "r")
-    return out.unionAll(rows.sparkSession.createDataFrame(met, "rid long, n long, i long, r int")) if met else out
-
-
-def suffix_keys(named: DataFrame, length: int) -> DataFrame:
-    """The keys of all suffixes of (rid, n, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", _PIECE):
-                raw, off = texts(part.column(2))
-                sums, rid = prefix(raw), part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                tokens, sizes, ids = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, _ID)]
-                for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    if b - a >= length:
-                        t, s = Text(sums, a, b, length).suffixes()
-                        own = np.zeros(len(t), _ID)
-                        own["rid"], own["n"], own["i"] = rid[k], b - a, np.arange(len(t))
-                        tokens.append(t)
-                        sizes.append(s)
-                        ids.append(own)
-                yield pa.RecordBatch.from_arrays([keys_of(*map(np.concatenate, (tokens, sizes, ids)))], ["key"])
-
-    return named.select("rid", "n", "text").mapInArrow(run, "key binary")
+        if r := _common(last, first):
+            for key in (last, first):
+                rid, (n, i) = np.frombuffer(key[-16:-8], ">i8"), np.frombuffer(key[-8:], ">u4").tolist()
+                met.append((int(rid[0]), n, np.array([i, r], "<u4").tobytes()))
+    out = found.where("own is not null").select("rid", "n", "own")
+    return out.unionAll(spark.createDataFrame([(r, n, bytearray(own)) for r, n, own in met], "rid long, n long, own binary")) if met else out
+
+
+def suffix_keys(length: int) -> Callable[[pa.RecordBatch], Keys]:
+    """Keys of all suffixes of (rid, n, text); of copies in a batch one's."""
+
+    def make(part: pa.RecordBatch) -> Keys:
+        raw, off = texts(part.column(2))
+        sums, rid = prefix(raw), part.column(0).to_numpy(zero_copy_only=False)
+        tokens, sizes, ids, seen = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, _ID)], set()
+        for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            if b - a >= length and (int(rid[k]), b - a) not in seen:
+                seen.add((int(rid[k]), b - a))
+                t, s = Text(sums, a, b, length).suffixes()
+                own = np.zeros(len(t), _ID)
+                own["rid"], own["n"], own["i"] = rid[k], b - a, np.arange(len(t))
+                tokens.append(t)
+                sizes.append(s)
+                ids.append(own)
+        return Keys.of_tokens(*map(np.concatenate, (tokens, sizes, ids)))
+
+    return make
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -255,60 +348,65 @@ def outcome(raw: bytes, repeated: np.ndarray, length: int) -> tuple[int, int, st
 _JUDGED = "doc_id long, rid long, n long, n_removed long, n_spans long, kept_sha256 string, repeated array<int>, undecided array<int>, keys array<long>, begins array<int>, ends array<int>, opens array<boolean>, wholes array<long>, text binary"
 
 
-def judged(named: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """A row for each document: its outcome if it is decided, else what is needed to decide it."""
+def judged(named: DataFrame, lists: DataFrame, length: int) -> DataFrame:
+    """A row for each document: its outcome if it is decided, else what is needed to decide it. lists: (rid_, n_, owns, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _JUDGED.split(", ")]
         kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+        before = None  # copies come one after the other
         for batch in batches:
             for part in pieces(batch, "text", _PIECE):
                 raw, off = texts(part.column(3))
                 sums, rows = prefix(raw), []
-                ids, rids, ns, places, sizes = (part.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
+                ids, rids, ns, owns, many = (part.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
                 for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    own = raw[a:b].tobytes()
                     head = (ids[k], rids[k], ns[k])
                     if b - a < length:
-                        rows.append((*head, *outcome(own, np.zeros(0, bool), length), *[None] * 8))
+                        rows.append((*head, *outcome(raw[a:b].tobytes(), np.zeros(0, bool), length), *[None] * 8))
                         continue
+                    whole = (b - a, 1, hashlib.sha256(b"").hexdigest())
+                    if many[k] and before == (rids[k], ns[k]):
+                        rows.append((*head, *whole, *[None] * 8))
+                        continue
+                    before, own = (rids[k], ns[k]), raw[a:b].tobytes()
                     text = Text(sums, a, b, length)
                     r = np.zeros(len(text.all), dtype=np.int64)
-                    if places[k]:
-                        np.maximum.at(r, np.array(places[k]), np.array(sizes[k]))
-                    repeated, undecided, keys, begin, end, open_, whole = judge(text, r)
-                    done = (None, None, None) if undecided.any() else outcome(own, repeated, length)
-                    groups = (keys, begin, end, open_.astype(bool), whole) if len(keys) else (None,) * 5
+                    if owns[k]:
+                        found = places(owns[k])
+                        np.maximum.at(r, found[:, 0].astype(np.int64), found[:, 1])
+                    repeated, undecided, keys, begin, end, open_, bytes_ = judge(text, r)
+                    if many[k]:
+                        undecided, open_ = np.zeros(len(repeated), bool), np.zeros(len(open_), bool)
+                    done = (None, None, None) if undecided.any() else whole if many[k] else outcome(own, repeated, length)
+                    groups = (keys, begin, end, open_.astype(bool), bytes_) if len(keys) else (None,) * 5
                     rows.append((*head, *done, _runs(repeated) if undecided.any() else None, _runs(undecided) if undecided.any() else None, *groups, own if len(keys) else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    lists = shared.groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list(F.struct("i", "r")).alias("own"))
     joined = named.join(lists, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_")), "left")
-    return joined.select("doc_id", "rid", "n", "text", F.col("own.i").alias("i"), F.col("own.r").alias("r")).mapInArrow(run, _JUDGED)
+    return joined.select("doc_id", "rid", "n", "text", "owns", F.coalesce("many", F.lit(False))).mapInArrow(run, _JUDGED)
 
 
-def window_keys(chosen: DataFrame, length: int) -> DataFrame:
-    """Keys of the windows that begin in the spans of (rid, n, text, spans)."""
+def window_keys(length: int) -> Callable[[pa.RecordBatch], Keys]:
+    """Keys of the windows that begin in the spans of (rid, n, text, spans): one token each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", _PIECE):
-                raw, off = texts(part.column(2))
-                sums, rid = prefix(raw), part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                tokens, ids = [np.zeros(0, U64)], [np.zeros(0, _ID)]
-                for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                    wanted = np.zeros(b - a, dtype=bool)
-                    for s in part.column(3)[k].as_py():
-                        wanted[s["b"] : s["e"]] = True
-                    p = np.flatnonzero(wanted)
-                    own = np.zeros(len(p), _ID)
-                    own["rid"], own["n"], own["i"] = rid[k], b - a, p
-                    tokens.append(span_hash(sums, a + p, a + p + length))
-                    ids.append(own)
-                t = np.concatenate(tokens)
-                yield pa.RecordBatch.from_arrays([keys_of(t, np.ones(len(t), np.int64), np.concatenate(ids))], ["key"])
+    def make(part: pa.RecordBatch) -> Keys:
+        raw, off = texts(part.column(2))
+        sums, rid = prefix(raw), part.column(0).to_numpy(zero_copy_only=False)
+        tokens, ids = [np.zeros(0, U64)], [np.zeros(0, _ID)]
+        for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            wanted = np.zeros(b - a, dtype=bool)
+            for s in part.column(3)[k].as_py():
+                wanted[s["b"] : s["e"]] = True
+            p = np.flatnonzero(wanted)
+            own = np.zeros(len(p), _ID)
+            own["rid"], own["n"], own["i"] = rid[k], b - a, p
+            tokens.append(span_hash(sums, a + p, a + p + length))
+            ids.append(own)
+        t = np.concatenate(tokens)
+        return Keys.of_tokens(t, np.ones(len(t), np.int64), np.concatenate(ids))
 
-    return chosen.select("rid", "n", "text", "spans").mapInArrow(run, "key binary")
+    return make
 
 
 def decided(waiting: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -317,7 +415,7 @@ def decided(waiting: DataFrame, found: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, n, raw, runs, open_, p in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for doc_id, n, raw, runs, open_, owns in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 size = n - length + 1
                 flags = [np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int32)]
                 for flag, ends in zip(flags, (runs, open_), strict=True):
@@ -325,41 +423,43 @@ def decided(waiting: DataFrame, found: DataFrame, length: int) -> DataFrame:
                     np.add.at(flag, np.array(ends[1::2], np.int64), -1)
                 repeated, undecided = (np.cumsum(f[:-1]) > 0 for f in flags)
                 hit = np.zeros(size, dtype=bool)
-                hit[np.array(p or [], np.int64)] = True
+                hit[places(owns or [])[:, 0].astype(np.int64)] = True
                 rows.append((doc_id, n, *outcome(raw, repeated | undecided & hit, length)))
             kinds = [pa.int64()] * 4 + [pa.string()]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    lists = found.groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list("i").alias("p"))
+    lists = found.groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list("own").alias("owns"))
     joined = waiting.join(lists, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.select("doc_id", "n", "text", "repeated", "undecided", "p").mapInArrow(run, schema)
+    return joined.select("doc_id", "n", "text", "repeated", "undecided", "owns").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row.
 
     Null is the empty text. Texts shorter than ``length`` keep all. Repeated rows are copies of each other, so all of
-    them lose what is longer; null ids are allowed.
+    them lose all that is long enough; null ids are allowed. An empty table gives an empty one.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rid"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
-    shared = neighbours(suffix_keys(named, length))
-    release(spark)
-    rows = settle(judged(named, shared, length))
-    release(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
+    counts = settle(named.groupBy("rid", "n").agg(F.count("*").alias("rows")))
+    n_keys = (counts.where(F.col("n") >= length).agg(F.sum("n")).first()[0] or 0) // (COARSE + 1)
+    shared = neighbours(named.select("rid", "n", "text"), suffix_keys(length), n_keys)
+    many = counts.where("rows > 1").select("rid", "n", F.lit(None).cast("binary").alias("own"))
+    lists = shared.unionAll(many).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list("own").alias("owns"), F.max(F.col("own").isNull()).alias("many"))
+    rows = settle(judged(named, lists, length))
+    discard(counts)
     groups = rows.where("keys is not null").select("rid", "n", F.explode(F.arrays_zip("keys", "begins", "ends", "opens", "wholes")).alias("g"))
     groups = groups.select("rid", "n", F.col("g.keys").alias("key"), F.col("g.begins").alias("b"), F.col("g.ends").alias("e"), F.col("g.opens").alias("open"), F.col("g.wholes").alias("whole"))
     wanted = groups.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("open")).where("members > 1 and open").select(F.col("key").alias("key_"))
     groups = groups.join(wanted.withColumnRenamed("open", "wanted"), F.col("key") == F.col("key_"))
     # Of decided members with the same bytes one stands for all: undecided ones only ask whether there is another.
     same = groups.where("not open").groupBy("key", "whole").agg(F.min(F.struct("rid", "n", "b", "e")).alias("m")).select("m.*")
-    spans = groups.where("open").select("rid", "n", "b", "e").unionAll(same).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    spans = groups.where("open").select("rid", "n", "b", "e").unionAll(same).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     chosen = rows.where("text is not null").join(spans, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_"))).select("rid", "n", "text", "spans")
     chosen = settle(chosen)
-    release(spark)
-    found = neighbours(window_keys(chosen, length))
-    release(spark)
+    n_windows = chosen.select(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["e"] - s["b"]))).first()[0] or 0
+    found = neighbours(chosen, window_keys(length), n_windows)
     done = rows.where("n_removed is not null").select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
     return done.unionAll(decided(rows.where("n_removed is null"), found, length))

@@ -45,3 +45,36 @@ def test_agrees_with_all_windows(spark, edge_rows, length):
 
 def test_empty(none):
     assert suffixes.remove_repeats(none).count() == 0
+
+
+def test_small_buckets_and_hot_passages(spark, monkeypatch):
+    """Many buckets, whose bounds fall among equal keys: a passage that all texts share, and copies."""
+    monkeypatch.setattr(suffixes, "BUCKET", 40)
+    rng = random.Random(3)
+    passage = prose(rng, 200)
+    rows = [(i, prose(rng, rng.randint(5, 40)) + passage + prose(rng, rng.randint(5, 40))) for i in range(40)] + [(7, passage)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in suffixes.remove_repeats(docs).collect())
+    assert got == brute([(i, t.encode()) for i, t in rows], 400)
+
+
+def test_many_repeated_rows(spark):
+    """2,000 rows with the same text and no id, and one that contains it."""
+    text = prose(random.Random(4), 2000)
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    docs = docs.unionAll(spark.createDataFrame([(1, "before " + text + " after")], "doc_id long, text string")).repartition(5)
+    got = suffixes.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    n = len(text)
+    assert {tuple(r) for r in got} == {(None, n, n, 1, 2000), (1, n + 13, n, 1, 1)}
+
+
+def test_shared_tokens_equal_a_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    seqs = [[int(x) for x in rng.integers(0, 3, rng.integers(1, 6))] for _ in range(300)]
+    head = np.array([q[0] << 40 for q in seqs], dtype=np.uint64)
+    rest = np.array([x for q in seqs for x in q[1:]], dtype=np.uint32)
+    keys = suffixes.Keys(head, np.array([len(q) for q in seqs], np.uint8), rest, np.zeros(300, suffixes._ID))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert keys.shared().tolist() == [max(common(a, b) for j, b in enumerate(seqs) if j != i) for i, a in enumerate(seqs)]
