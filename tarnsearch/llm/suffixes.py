@@ -182,19 +182,34 @@ def _common(a: bytes, b: bytes) -> int:
     return k
 
 
+_SENT = "dest int, blob binary, part int, first binary, last binary"
 _FOUND = "rid long, n long, own binary, part int, first binary, last binary"
+_SHARED = np.dtype([("rid", "<i8"), ("n", "<u4"), ("i", "<u4"), ("r", "<u4")])
 
 
-def _rows(ids: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+def _ends(part: int, first: bytes, last: bytes, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """A row that holds a bucket's first and last key only."""
+    values = {"dest": 0, "part": part, "first": first, "last": last}
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in zip(names, kinds, strict=True)], names)
+
+
+_SENT_COLUMNS = (["dest", "blob", "part", "first", "last"], [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()])
+_FOUND_COLUMNS = (["rid", "n", "own", "part", "first", "last"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()])
+
+
+def _filled(columns: dict[str, pa.Array], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(n, k)) for x, k in zip(names, kinds, strict=True)], names)
+
+
+def _by_text(found: np.ndarray) -> pa.RecordBatch:
     """A row for each text of the places, with (i, r) of each of its own."""
-    order = np.lexsort((ids["n"], ids["rid"]))
-    ids, r = ids[order], r[order]
-    at = np.flatnonzero(np.concatenate([[True], (ids["rid"][1:] != ids["rid"][:-1]) | (ids["n"][1:] != ids["n"][:-1])]))
-    own = np.ascontiguousarray(np.stack([ids["i"], r.astype(np.uint32)], 1))
-    off = np.concatenate([at, [len(ids)]]) * 8
-    blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(own)])
-    none = [None] * len(at)
-    return pa.RecordBatch.from_arrays([pa.array(ids["rid"][at]), pa.array(ids["n"][at].astype(np.int64)), blob, pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], ["rid", "n", "own", "part", "first", "last"])
+    found = found[np.lexsort((found["n"], found["rid"]))]
+    at = np.flatnonzero(np.concatenate([[True], (found["rid"][1:] != found["rid"][:-1]) | (found["n"][1:] != found["n"][:-1])]))
+    own = np.stack([found["i"], found["r"]], 1)
+    off = np.concatenate([at, [len(found)]]) * 8
+    blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own))])
+    return _filled({"rid": pa.array(found["rid"][at]), "n": pa.array(found["n"][at].astype(np.int64)), "own": blob}, *_FOUND_COLUMNS)
 
 
 def places(owns: list[bytes]) -> np.ndarray:
@@ -245,14 +260,33 @@ def neighbours(rows: DataFrame, make: Callable[[pa.RecordBatch], Keys], n_keys:
         blobs.clear()
         r = keys.shared()
         at = np.flatnonzero(r > 0)
-        for a in range(0, len(at), 1 << 20):
-            yield _rows(keys.ids[at[a : a + (1 << 20)]], r[at[a : a + (1 << 20)]])
-        ends = [[keys.bytes(keys.end(last))] for last in (False, True)]
-        none = [None]
-        yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array(x, pa.binary()) for x in ends)], ["rid", "n", "own", "part", "first", "last"])
+        if len(at):
+            out = np.empty(len(at), _SHARED)
+            for name in _ID.names:
+                out[name] = keys.ids[name][at]
+            out["r"] = r[at]
+            dest = (mix(out["rid"].view(U64)) % U64(n_parts)).astype(np.int32) if n_parts > 1 else np.zeros(len(at), np.int32)
+            order = np.argsort(dest, kind="stable")
+            out, dest = out[order], dest[order]
+            to = np.flatnonzero(np.diff(dest, append=-1)) + 1
+            blobs = [out[a:b].tobytes() for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
+            yield _filled({"dest": pa.array(dest[to - 1]), "blob": pa.array(blobs, pa.binary())}, *_SENT_COLUMNS)
+        yield _ends(TaskContext.get().partitionId(), *(keys.bytes(keys.end(last)) for last in (False, True)), *_SENT_COLUMNS)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places by text; what holds ends goes through."""
+        blobs: list[bytes] = []
+        for batch in batches:
+            _, blob, part, first, last = (batch.column(k).to_pylist() for k in range(5))
+            blobs += [x for x in blob if x is not None]
+            for k, x in enumerate(part):
+                if x is not None:
+                    yield _ends(x, first[k], last[k], *_FOUND_COLUMNS)
+        if blobs:
+            yield _by_text(np.frombuffer(b"".join(blobs), _SHARED))
 
     bundled = rows.mapInArrow(sent, "part int, blob binary").repartitionById(len(split) + 1, F.col("part"))
-    found = settle(bundled.mapInArrow(run, _FOUND))
+    found = settle(bundled.mapInArrow(run, _SENT).repartitionById(n_parts, F.col("dest")).mapInArrow(gathered, _FOUND))
     ends = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found.where("part is not null").select("part", "first", "last").collect())
     met = []
     for (_, _, last), (_, first, _) in zip(ends, ends[1:], strict=False):
@@ -452,11 +486,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(counts)
     groups = rows.where("keys is not null").select("rid", "n", F.explode(F.arrays_zip("keys", "begins", "ends", "opens", "wholes")).alias("g"))
     groups = groups.select("rid", "n", F.col("g.keys").alias("key"), F.col("g.begins").alias("b"), F.col("g.ends").alias("e"), F.col("g.opens").alias("open"), F.col("g.wholes").alias("whole"))
-    wanted = groups.groupBy("key").agg(F.count("*").alias("members"), F.max("open").alias("open")).where("members > 1 and open").select(F.col("key").alias("key_"))
-    groups = groups.join(wanted.withColumnRenamed("open", "wanted"), F.col("key") == F.col("key_"))
     # Of decided members with the same bytes one stands for all: undecided ones only ask whether there is another.
-    same = groups.where("not open").groupBy("key", "whole").agg(F.min(F.struct("rid", "n", "b", "e")).alias("m")).select("m.*")
-    spans = groups.where("open").select("rid", "n", "b", "e").unionAll(same).groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    same = groups.where("not open").groupBy("key", "whole").agg(F.min(F.struct("rid", "n", "b", "e")).alias("m"), F.count("*").alias("members"))
+    same = same.select("m.*", "key", "members", F.lit(False).alias("open"))
+    groups = groups.where("open").select("rid", "n", "b", "e", "key", F.lit(1).cast("long").alias("members"), "open").unionAll(same)
+    wanted = groups.groupBy("key").agg(F.sum("members").alias("all"), F.max("open").alias("any")).where("all > 1 and any").select(F.col("key").alias("key_"))
+    groups = groups.join(wanted, F.col("key") == F.col("key_"))
+    spans = groups.groupBy(F.col("rid").alias("rid_"), F.col("n").alias("n_")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     chosen = rows.where("text is not null").join(spans, (F.col("rid") == F.col("rid_")) & (F.col("n") == F.col("n_"))).select("rid", "n", "text", "spans")
     chosen = settle(chosen)
     n_windows = chosen.select(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["e"] - s["b"]))).first()[0] or 0
