@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnsearch.llm import decontaminate, mixing, neardup, pii, quality
 from tarnsearch.llm._spark import settle, ship, table
+from tarnsearch.llm.queries import surrogate_key
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,7 +38,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars, if there, is the new text's."""
-    out = pii.replace(docs)
+    out = pii.replace(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -5,7 +5,9 @@ are taken in lower case. A text is
 compressed once with each dictionary; the smallest result names the language, and the lead over the second smallest, in
 proportion, is the margin. Where it is under ``min_margin`` the row is rejected.
 
-The sample is bounded: SAMPLE_BYTES of text a language, from texts of at most SAMPLE_TEXT bytes, in seeded hash order.
+The sample is bounded: SAMPLE_BYTES of text a language, less where over TOTAL_BYTES / SAMPLE_BYTES languages share
+TOTAL_BYTES, in seeded hash order; of a longer text it has SAMPLE_TEXT characters from a seeded place. Every language with
+a text that isn't empty has a dictionary.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 100_000
-SAMPLE_TEXT = 8_192
-MAX_LANGUAGES = 256
+SAMPLE_TEXT = 4_096
+TOTAL_BYTES = 64 << 20
 LEVEL = 9
 MIN_MARGIN = 0.01
 BITS_A_STEP = 32.0
@@ -34,30 +36,26 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Dictionary content by language. Rows without text or language don't count; more than MAX_LANGUAGES is an error."""
-    text, size = F.col(text_col), F.octet_length(F.col(text_col))
-    fit_for = rows.where(text.isNotNull() & F.col(lang_col).isNotNull() & (size > 0) & (size <= SAMPLE_TEXT))
+    """Dictionary content by language. Rows without text or language don't count."""
     order = F.xxhash64(F.col(id_col), F.lit(1))
-    share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
-    known = fit_for.groupBy(lang_col).agg(F.sum(size).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    named = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), order.alias("at")).where("lang is not null and text <> ''")
+    begin = F.pmod(F.xxhash64("at", F.lit(2)), F.length("text") - SAMPLE_TEXT + 1).cast("int") + 1
+    fit_for = named.select("lang", F.when(F.length("text") > SAMPLE_TEXT, F.substr("text", begin, F.lit(SAMPLE_TEXT))).otherwise(F.col("text")).alias("text"), "at")
+    known = fit_for.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()
     if not known:
         return {}
+    sample_bytes = max(8, min(sample_bytes, TOTAL_BYTES // len(known)))
     # Twice the wanted bytes in expectation; each language's sample ends where its budget does.
-    wanted = F.create_map(*(x for r in known for x in (F.lit(r[0]), F.lit(min(1.0, (2.0 * sample_bytes + 8 * SAMPLE_TEXT) / r["n"])))))
+    wanted = F.create_map(*(x for r in known for x in (F.lit(r[0]), F.lit(min(1.0, (2.0 * sample_bytes + 32 * SAMPLE_TEXT) / r["n"])))))
     found = defaultdict(list)
-    for lang, t, o in fit_for.where(share < wanted[F.col(lang_col)]).select(lang_col, text_col, order).collect():
+    share = F.pmod(F.col("at"), F.lit(1 << 30)) / float(1 << 30)
+    for lang, t, o in fit_for.where(share < wanted[F.col("lang")]).select("lang", "text", "at").collect():
         found[lang].append((o, t.lower().encode()))
     out = {}
     for lang, sample in sorted(found.items()):
-        content, used = [], 0
-        for _, t in sorted(sample):
-            if used + len(t) <= sample_bytes:
-                content.append(t)
-                used += len(t) + 1
-        out[lang] = b"\n".join(content)
-    return {k: v for k, v in out.items() if len(v) >= 8}
+        content = b"\n".join(t for _, t in sorted(sample))[:sample_bytes]
+        out[lang] = content if len(content) >= 8 else (content + b"\n") * 8  # zstandard wants 8 bytes at least
+    return out
 
 
 class Compressors:

@@ -2,9 +2,10 @@
 
 Detected: e-mail and IP addresses, payment-card-like numbers, IBANs, social security numbers, telephone numbers, secrets
 (long hexadecimal words and common key formats), and names after a title or a common given name. Each is replaced by a
-surrogate of its type: digits by digits, letters by letters of the same case, separators kept; octets by octets; a
+surrogate of its type: digits by digits, letters by letters of the same case and script (Cyrillic, else Latin),
+separators kept; octets by octets; card numbers and IBANs have right check digits (but for those given by rank, below); a
 domain's surrogate depends on the domain alone; given names get given names of the same gender, surnames surnames, in
-their script (Latin or Cyrillic).
+their script. A part of a detected name that stands alone elsewhere in the same document is a mention of it.
 
 A surrogate is drawn by a keyed hash of type and normal form (case and separators dropped), so an entity has one surrogate
 in all documents and spellings; "Mr. Smith" and "John Smith" share the surname's. Collisions are checked over the whole
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tarnsearch.llm._spark import settle
 
-KEY = "surrogate-key-1"
 MAX_DRAWS = 12
 OPEN, CLOSE, ESCAPE = "\ue000", "\ue001", "\ue002"
 _OUTSIDE = f"(?![^{OPEN}{CLOSE}]*{CLOSE})"
@@ -32,7 +32,7 @@ TITLES_M = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "госп
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "госпожа", "Госпожа")
 NAMES_M = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Charles", "Daniel", "Peter", "Paul", "Hans", "Klaus", "Jürgen", "Pierre", "Jean", "Carlos", "José", "Juan", "Иван", "Сергей", "Дмитрий")
 NAMES_F = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Karen", "Anna", "Laura", "Julia", "Ursula", "Sabine", "Marie", "Sophie", "Claire", "Carmen", "Lucía", "Анна", "Елена", "Ольга")
-_WORD = r"\p{Lu}\p{L}{1,40}"
+_WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-]\p{L}++)*+"
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -44,7 +44,7 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 _COMPRESSED = "|".join([*(f"(?:{_GROUP}:){{1,{7 - n}}}(?::{_GROUP}){{1,{n}}}" for n in range(1, 7)), f"(?:{_GROUP}:){{1,7}}:", f":(?::{_GROUP}){{1,7}}"])
 #: (type, pattern): the first group of a pattern is the entity. Order matters: what is marked isn't looked at again.
 PATTERNS = (
-    ("E", r"([\p{L}\p{N}._%+-]{1,128}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24})"),
+    ("E", r"(?<![\p{L}\p{N}._%+-])([\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+)"),
     ("V", r"(?<![0-9A-Fa-f:])((?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])"),
     ("V", r"(?<![\p{L}\p{N}:_])(" + _COMPRESSED + r")(?![\p{L}\p{N}:_]|\.\d)"),
     ("A", r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3})(?!\.?\d)"),
@@ -78,7 +78,17 @@ def mark(text: Column) -> Column:
         people = F.regexp_replace(people, rf"(?<=(?<!\p{{L}}){_any(titles)}\.?[ ])({_WORD}){two}" + _OUTSIDE, both)
         people = F.regexp_replace(people, rf"(?<![\p{{L}}{OPEN}])(?<!{OPEN}[A-Z])({_any(names)}){two}" + _OUTSIDE, both)
     people = F.regexp_replace(people, rf"(?<=(?<!\p{{L}}){_any(TITLES_M + TITLES_F)}\.?[ ])({_WORD})(?!\p{{L}})" + _OUTSIDE, f"{OPEN}N$1{CLOSE}")
-    return F.when(text.rlike(_PEOPLE), people).otherwise(safe)
+    return F.when(text.rlike(_PEOPLE), mentions(people)).otherwise(safe)
+
+
+def mentions(marked: Column) -> Column:
+    """Marked text in which the parts of its marked names are marked wherever they stand alone."""
+    out = marked
+    for kind in "MFN":
+        names = F.array_distinct(F.regexp_extract_all(marked, F.lit(f"{OPEN}{kind}([^{CLOSE}]+){CLOSE}"), F.lit(1)))
+        pattern = F.concat(F.lit(rf"(?<![\p{{L}}{OPEN}'’-])(?<!{OPEN}[A-Z])("), F.array_join(names, "|"), F.lit(r")(?!\p{L}|['’-]\p{L})" + _OUTSIDE))
+        out = F.when(F.size(names) > 0, F.regexp_replace(out, pattern, F.lit(f"{OPEN}{kind}$1{CLOSE}"))).otherwise(out)
+    return out
 
 
 def parts(marked: Column) -> Column:
@@ -103,6 +113,25 @@ def normal(kind: Column, value: Column) -> Column:
     return F.lower(F.when(kind.isin("E", "A", "V", "M", "F", "N"), value).when(kind == "K", value).otherwise(digits))
 
 
+def luhn(digits: Column) -> Column:
+    """A payment card's check digit after these digits."""
+    def step(acc: Column, c: Column) -> Column:
+        twice = c.cast("int") * 2
+        return F.struct((-acc["left"] + 1).alias("left"), (acc["sum"] + F.when(acc["left"] == 1, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(c.cast("int"))).alias("sum"))
+
+    total = F.aggregate(F.reverse(F.split(digits, "")), F.struct(F.lit(1).alias("left"), F.lit(0).alias("sum")), step)["sum"]
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def iban_check(country: Column, rest: Column) -> Column:
+    """The two check digits of an IBAN, of lower-case country and rest."""
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (acc * 10 + F.coalesce(c.try_cast("int"), F.lit(0))) % 97).otherwise((acc * 100 + F.ascii(c) - 87) % 97)
+
+    return F.lpad((98 - F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), step)).cast("string"), 2, "0")
+
+
+_CYRILLIC = [chr(0x430 + i) for i in range(32)]
 # Syllables and endings of made-up names.
 _SYLLABLES = {
     "Latin": "ba be bi bo da de di do fa fe ga go ka ke ko la le li lo ma me mi mo na ne no pa ra ri sa ta va".split(),
@@ -114,7 +143,7 @@ _ENDINGS = {
 }
 
 
-def draw(kind: Column, norm: Column, n: int, key: str = KEY) -> Column:
+def draw(kind: Column, norm: Column, n: int, key: str) -> Column:
     """The n-th surrogate of a normal form, in normal form."""
     def stream(*what: Column) -> Column:
         return F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(key), *what, F.lit(str(k))), 256) for k in range(5)))
@@ -128,7 +157,8 @@ def draw(kind: Column, norm: Column, n: int, key: str = KEY) -> Column:
         def one(c: Column, i: Column) -> Column:
             digit = F.chr((byte(h, i) % 10 + 48).cast("long"))
             letter = F.chr((byte(h, i) % letters + 97).cast("long"))
-            return F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+            other = F.element_at(F.array(*map(F.lit, _CYRILLIC)), byte(h, i) % len(_CYRILLIC) + 1)
+            return F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{IsCyrillic}"), other).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -138,6 +168,8 @@ def draw(kind: Column, norm: Column, n: int, key: str = KEY) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (byte(h, i) % 254 + 1).cast("string")), ".")
     phone = F.concat(F.regexp_extract(norm, r"^\+?\d", 0), spell(F.regexp_replace(norm, r"^\+?\d", ""), h))
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
+    account = spell(F.substr(norm, F.lit(5)), h)
+    card = spell(F.substr(norm, F.lit(1), F.length(norm) - 1), h)
 
     def people(script: str) -> Column:
         syllables = F.array(*map(F.lit, _SYLLABLES[script]))
@@ -148,7 +180,8 @@ def draw(kind: Column, norm: Column, n: int, key: str = KEY) -> Column:
     return (
         F.when(kind == "E", email).when(kind == "A", octets).when(kind == "V", spell(norm, h, 6)).when(kind == "P", phone)
         .when(kind == "K", F.when(norm.rlike("^[0-9a-f]+$"), spell(norm, h, 6)).otherwise(spell(norm, h)))
-        .when(kind == "B", F.concat(F.substring(norm, 1, 2), spell(F.substr(norm, F.lit(3)), h)))
+        .when(kind == "B", F.concat(F.substring(norm, 1, 2), iban_check(F.substring(norm, 1, 2), account), account))
+        .when(kind == "C", F.concat(card, luhn(card)))
         .when(kind.isin("M", "F", "N"), F.when(cyrillic, people("Cyrillic")).otherwise(people("Latin")))
         .otherwise(spell(norm, h))
     )
@@ -171,17 +204,18 @@ def lay_out(kind: Column, value: Column, surrogate: Column) -> Column:
 
 
 # The alphabets of a format's places: digits, hexadecimal letters, letters, octets, syllables.
-_ALPHABETS = {"0": list("0123456789"), "a": list("abcdef"), "z": [chr(97 + i) for i in range(26)], "o": [str(i) for i in range(1, 255)], "s": _SYLLABLES["Latin"], "c": _SYLLABLES["Cyrillic"]}
+_ALPHABETS = {"0": list("0123456789"), "a": list("abcdef"), "z": [chr(97 + i) for i in range(26)], "y": _CYRILLIC, "o": [str(i) for i in range(1, 255)], "s": _SYLLABLES["Latin"], "c": _SYLLABLES["Cyrillic"]}
 _FAR = 1 << 50
 
 
-def shape(kind: Column, norm: Column, longer: int, key: str = KEY) -> Column:
+def shape(kind: Column, norm: Column, longer: int, key: str) -> Column:
     """The format of a normal form's surrogates: a fixed head, places by alphabet (other characters stay), a fixed tail.
 
     ``longer`` places are added at the end.
     """
     def places(text: Column, letter: str) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r"\p{L}", letter), "[0-9]", "0")
+        latin = F.regexp_replace(text, r"[\p{L}&&[^\p{IsCyrillic}]]", letter)
+        return F.regexp_replace(F.regexp_replace(latin, r"\p{IsCyrillic}", "y"), "[0-9]", "0")
 
     people, cyrillic = kind.isin("M", "F", "N"), norm.rlike(r"\p{IsCyrillic}")
     hexadecimal = (kind == "V") | (kind == "K") & norm.rlike("^[0-9a-f]+$")
@@ -221,7 +255,7 @@ def value_at(form: Column, n: Column) -> Column:
     return F.concat(form["head"], F.aggregate(F.split(form["pattern"], ""), start, step)["out"], form["tail"])
 
 
-def by_rank(waiting: DataFrame, forbidden: DataFrame, key: str = KEY) -> DataFrame:
+def by_rank(waiting: DataFrame, forbidden: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) for all that wait: unused values of their formats; forbidden has (kind_, taken)."""
     from pyspark.sql import Window
 
@@ -254,7 +288,7 @@ def by_rank(waiting: DataFrame, forbidden: DataFrame, key: str = KEY) -> DataFra
     return out
 
 
-def assign(originals: DataFrame, key: str = KEY) -> DataFrame:
+def assign(originals: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) of distinct (kind, norm), checked for collisions as the module says."""
     taken = waiting = originals = settle(originals.select("kind", "norm").distinct())
     accepted = None
@@ -277,25 +311,29 @@ def assign(originals: DataFrame, key: str = KEY) -> DataFrame:
     return accepted.unionAll(by_rank(waiting, forbidden, key))
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """The documents, all columns, with surrogates in the text. Null stays null. ``count_col`` adds the number of entities."""
+def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """The documents, all columns, with surrogates in the text. ``count_col`` adds the number of entities.
+
+    ``key`` is the secret from which surrogates are drawn; with another key all are others. Null and empty texts stay;
+    rows with null or repeated ids are replaced each by its own text; an empty table stays one.
+    """
     text = F.col(text_col).cast("string")
-    ids = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary"))))
-    names = [c for c in docs.columns if c != text_col]
-    has = F.coalesce(mark(text).contains(OPEN), F.lit(False))
-    clean = docs.where(~has)
-    dirty = settle(docs.where(has).select(*names, ids.alias("__row"), mark(text).alias("__marked")))
-    found = dirty.select(F.col("__row").alias("row"), F.explode(entities(F.col("__marked"))).alias("entity")).distinct()
+    names = docs.columns
+    marked = mark(text)
+    # Marks are made once, for all rows: what has none is passed on, what has some is looked up by id and text.
+    all_ = settle(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.when(marked.contains(OPEN), marked).alias("marked")))
+    clean = all_.where("marked is null").select("row", F.col(f"row.`{text_col}`").cast("string").alias("new"), F.lit(0).cast("long").alias("n"))
+    dirty = all_.where("marked is not null").select("row", "marked", F.md5(F.concat_ws("\x1f", F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), "marked").cast("binary")).alias("name"))
+    found = dirty.select("name", F.explode(entities(F.col("marked"))).alias("entity")).distinct()
     kind, value = F.substring("entity", 1, 1), F.substr("entity", F.lit(2))
-    found = settle(found.select("row", "entity", kind.alias("kind"), normal(kind, value).alias("norm")))
+    found = settle(found.select("name", "entity", kind.alias("kind"), normal(kind, value).alias("norm")))
     surrogates = assign(found, key).select(F.col("kind").alias("kind_"), F.col("norm").alias("norm_"), "surrogate")
     own = found.join(surrogates, (F.col("kind") == F.col("kind_")) & (F.col("norm") == F.col("norm_")))
-    own = own.select("row", "entity", lay_out(F.col("kind"), F.substr("entity", F.lit(2)), F.col("surrogate")).alias("new"))
-    own = own.groupBy(F.col("row").alias("__row_")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__new"))
-    dirty = dirty.join(own, F.col("__row") == F.col("__row_")).withColumn("__parts", parts(F.col("__marked")))
-    joined = F.array_join(F.transform("__parts", lambda x, i: F.when(i % 2 == 1, F.element_at(F.col("__new"), x)).otherwise(x)), "")
+    own = own.select("name", "entity", lay_out(F.col("kind"), F.substr("entity", F.lit(2)), F.col("surrogate")).alias("to"))
+    own = own.groupBy(F.col("name").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "to"))).alias("to"))
+    dirty = dirty.join(own, F.col("name") == F.col("of")).withColumn("parts", parts(F.col("marked")))
+    joined = F.array_join(F.transform("parts", lambda x, i: F.when(i % 2 == 1, F.element_at(F.col("to"), x)).otherwise(x)), "")
     restored = F.when(joined.contains(ESCAPE), unescape(joined)).otherwise(joined)
-    counts = [] if count_col is None else [((F.size("__parts") - 1) / 2).cast("long").alias(count_col)]
-    dirty = dirty.select(*names, restored.alias(text_col), *counts)
-    clean = clean.select(*names, text.alias(text_col), *([] if count_col is None else [F.lit(0).cast("long").alias(count_col)]))
-    return dirty.unionAll(clean).select(*docs.columns, *([] if count_col is None else [count_col]))
+    dirty = dirty.select("row", restored.alias("new"), ((F.size("parts") - 1) / 2).cast("long").alias("n"))
+    out = [F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names]
+    return dirty.unionAll(clean).select(*out, *([] if count_col is None else [F.col("n").alias(count_col)]))

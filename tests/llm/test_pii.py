@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tarnsearch.llm import pii
 
+KEY = "a test's key"
+
 ROWS = [
     (1, "Write to jane.doe@corp.example or JANE.DOE@corp.example, tel +1 (415) 555-0134.", "x"),
     (2, "Mr. John Smith met Mrs Mary Jones; Mr Smith paid with 4111 1111 1111 1111 from 10.20.30.40.", "x"),
@@ -17,7 +19,7 @@ ORIGINALS = ["jane.doe@", "JANE.DOE@", "555-0134", "John", "Smith", "Mary", "Jon
 
 def test_surrogates_keep_types_formats_and_identity(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, kind string")
-    got = pii.replace(docs, count_col="n").collect()
+    got = pii.replace(docs, KEY, count_col="n").collect()
     assert len(got) == len(ROWS)
     by = {r["doc_id"]: r["text"] for r in got}
     for original in ORIGINALS:
@@ -31,23 +33,23 @@ def test_surrogates_keep_types_formats_and_identity(spark):
     assert re.match(r"Господин [А-Я][а-я]+ [А-Я][а-я]+ и ", by[3]) and re.search(r'"[0-9a-f]{40}"', by[3])
     assert "odd marks " + m[7] in by[None] and re.search(r"IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, ssn \d{3}-\d\d-\d{4}", by[None])
     assert sorted(r["n"] for r in got) == [0, 0, 0, 0, 3, 3, 4, 7]
-    assert sorted(map(str, got)) == sorted(map(str, pii.replace(docs.repartition(5), count_col="n").collect()))
+    assert sorted(map(str, got)) == sorted(map(str, pii.replace(docs.repartition(5), KEY, count_col="n").collect()))
 
 
 def test_collisions_are_resolved(spark):
     rows = spark.createDataFrame([("S", f"{i:03d}") for i in range(400)] + [("A", f"10.0.{i // 250}.{i % 250}") for i in range(400)], "kind string, norm string")
-    got = pii.assign(rows).collect()
+    got = pii.assign(rows, KEY).collect()
     assert len({(r["kind"], r["norm"]) for r in got}) == 800
     own = {(r["kind"], r["norm"]) for r in got}
-    assert len({(r["kind"], r["surrogate"]) for r in got if r["kind"] == "A"}) == 400
-    assert not any((r["kind"], r["surrogate"]) in own for r in got if r["kind"] == "A")
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == 800
+    assert not any((r["kind"], r["surrogate"]) in own for r in got)
 
 
 def test_what_random_draws_leave_is_given_unused_values(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_DRAWS", 1)
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [("S", f"{i:03d}") for i in range(400)] + [("S", str(i)) for i in range(10)] + [("E", f"{a}{b}@qv.org") for a in letters[:23] for b in letters] + [("P", f"+4{i}") for i in range(7)]
-    got = pii.assign(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    got = pii.assign(spark.createDataFrame(rows, "kind string, norm string"), KEY).collect()
     assert sorted((r["kind"], r["norm"]) for r in got) == sorted(rows)
     assert len({(r["kind"], r["surrogate"]) for r in got}) == len(rows)
     assert not {(r["kind"], r["surrogate"]) for r in got} & set(rows)
@@ -67,7 +69,7 @@ def test_secrets_and_addresses_of_letters_alone_and_of_any_length(spark):
     ]
     clean = ["std::cout << x", "see: this, and: that", "Ratio 3:4", "ask-me-about-something"]
     rows = [(i, f"It is {t} here.") for i, t in enumerate(secrets + clean)]
-    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n").collect()}
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY, count_col="n").collect()}
     for i, secret in enumerate(secrets):
         assert got[i]["n"] == 1 and secret not in got[i]["text"], secret
         assert re.fullmatch(r"It is \S+ here\.", got[i]["text"])
@@ -79,6 +81,31 @@ def test_secrets_and_addresses_of_letters_alone_and_of_any_length(spark):
 
 
 def test_edges(edge, none):
-    got = pii.replace(edge)
+    got = pii.replace(edge, KEY)
     assert got.columns == edge.columns and sorted(map(str, got.collect())) == sorted(map(str, edge.collect()))
-    assert pii.replace(none).count() == 0
+    assert pii.replace(none, KEY).count() == 0
+
+
+def test_mentions_scripts_and_check_digits(spark):
+    rows = [
+        (1, "John Smith called. Later John wrote, and Smith agreed; Smithson did not."),
+        (2, "Mr. O'Brien met Mr. Jean-Luc Picard. Picard left; Jean-Luc stayed."),
+        (3, "Пишите на пётр@почта.рф сегодня"),
+        (4, "Card 4111 1111 1111 1111, account DE89 3704 0044 0532 0130 00."),
+        (5, "Smith and John are names of others here."),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "row long, text string, marked string")
+    out = pii.replace(docs, KEY, id_col="row")
+    assert out.columns == docs.columns
+    got = {r["row"]: r["text"] for r in out.collect()}
+    m = re.fullmatch(r"(\w+) (\w+) called\. Later (\w+) wrote, and (\w+) agreed; Smithson did not\.", got[1])
+    assert m and m[1] == m[3] != "John" and m[2] == m[4] != "Smith"
+    m = re.fullmatch(r"Mr\. (\S+) met Mr\. (\S+) (\S+)\. (\S+) left; (\S+) stayed\.", got[2])
+    assert m and m[3] == m[4] and m[2] == m[5] and not re.search("Brien|Jean|Luc|Picard", got[2])
+    assert re.fullmatch(r"Пишите на [а-я]{4}@[а-я]{5}\.рф сегодня", got[3]) and "почта" not in got[3]
+    card = re.sub(" ", "", re.search(r"Card ([\d ]+),", got[4])[1])
+    assert card != "4111111111111111" and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
+    iban = re.sub(" ", "", re.search(r"account ([A-Z\d ]+)\.", got[4])[1])
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[5] == rows[4][1]
+    assert pii.replace(docs, "another key", id_col="row").where("row = 4").first()["text"] != got[4]
