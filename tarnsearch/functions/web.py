@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,11 +17,12 @@ BANNED = (
     "?action=", "?session", "?sid=", "?sort=", "?order=", "?filter=", "&action=", "&session", "&sid=", "&sort=", "&order=", "&filter=",
     "logout", "login", "register", "signup",
 )
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: (reference, character) of the standard library's table of names; the ampersand is the last.
+ENTITIES = (("&#39;", "'"), ("&apos;", "'"), *((f"&{k};", chr(v)) for k, v in sorted(name2codepoint.items()) if k != "amp"), ("&amp;", "&"))
 
 DROPPED = (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"(?is)<!doctype[^>]*>")
 TAG = r"(?s)</?[a-zA-Z][^>]*>"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)"""
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*|'[^']*|[^\s"'>]+)"""
 PARTS = r"^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -36,18 +38,35 @@ def html_text(html: Column, separator: str = "") -> Column:
 
 
 def _decoded(x: Column) -> Column:
-    for name, c in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(c))
-    return x
+    """Text with its character references replaced: named ones of the standard's table, decimal and hexadecimal ones."""
+    names = {k[1:-1]: v for k, v in ENTITIES}
+    table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+    def one(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, "^([a-zA-Z][a-zA-Z0-9]*|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.substr(name, F.lit(2))).cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.element_at(table, name))
+        return F.when(i == 0, part).when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    return F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "&"), one), "")).otherwise(x)
 
 
 def links(html: Column) -> Column:
     """The href of each anchor in order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.replace(F.regexp_replace(x, "^[\"']", ""), F.lit("&amp;"), F.lit("&")))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps."""
+    step = F.split(path, "/")
+    last = F.element_at(step, -1)
+    kept = F.aggregate(step, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
 
 
 def absolute(href: Column, base: Column) -> Column:
-    """A link as an absolute URL of its page's; dots in paths are kept as they are."""
+    """A link as an absolute URL of its page's; ``.`` and ``..`` steps of a relative one are followed."""
     scheme, host, path = (F.regexp_extract(base, PARTS, k) for k in (1, 2, 3))
     origin = F.concat(scheme, F.lit("://"), host)
     folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
@@ -58,6 +77,7 @@ def absolute(href: Column, base: Column) -> Column:
         .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(origin, path, href))
+        .when(href.rlike(r"(^|/)\.\.?(/|$|[?#])"), F.concat(origin, without_dots(F.concat(folder, F.regexp_extract(href, "^[^?#]*", 0))), F.regexp_extract(href, "[?#].*$", 0)))
         .otherwise(F.concat(origin, folder, href))
     )
 

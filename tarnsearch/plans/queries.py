@@ -405,7 +405,7 @@ def _sql_decoded(x: str) -> str:
 _NORMAL_URL = rf"""regexp_extract({{u}}, '{web.PARTS}', 1).lower() || '://' || regexp_extract({{u}}, '{web.PARTS}', 2).lower() ||
   CASE WHEN regexp_replace(regexp_extract({{u}}, '{web.PARTS}', 3), ';[^/]*$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract({{u}}, '{web.PARTS}', 3), ';[^/]*$', '') END ||
   CASE WHEN regexp_extract({{u}}, '{web.PARTS}', 4) <> '' THEN '?' || array_to_string(list_sort(string_split(regexp_extract({{u}}, '{web.PARTS}', 4), '&')), '&') ELSE '' END"""
-_LINKS = rf"""a AS (SELECT url, i - 1 AS place, replace(h[i], '&amp;', '&') AS href FROM (SELECT url, h, unnest(range(1, len(h) + 1)) AS i FROM
+_LINKS = rf"""a AS (SELECT url, i - 1 AS place, replace(regexp_replace(h[i], '^["'']', ''), '&amp;', '&') AS href FROM (SELECT url, h, unnest(range(1, len(h) + 1)) AS i FROM
   (SELECT url, regexp_extract_all(html, '{web.LINK.replace(chr(39), chr(39) * 2)}', 1) AS h FROM pages))),
 b AS (SELECT url, place, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
   WHEN starts_with(href, '//') THEN regexp_extract(url, '{web.PARTS}', 1) || ':' || href
@@ -451,14 +451,15 @@ def url_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target", web.banned(F.col("target")).alias("banned"))
 
 
-@query(f"""WITH {_LINKS}, e AS (SELECT DISTINCT {_NORMAL_URL.format(u='url')} AS src, {_NORMAL_URL.format(u='target')} AS dst FROM b WHERE place < 100 AND regexp_matches(target, '{web.PARTS}')),
-s AS (SELECT {_NORMAL_URL.format(u='url')} AS url FROM pages) SELECT url, 0::INTEGER AS depth FROM s GROUP BY url UNION ALL
-SELECT DISTINCT dst AS url, 1::INTEGER AS depth FROM e WHERE len(list_filter([{_sql_list(web.BANNED)}], lambda x: contains(lower(dst), x))) = 0
-  AND regexp_extract(dst, '{web.PARTS}', 2) IN (SELECT regexp_extract(url, '{web.PARTS}', 2) FROM pages) AND dst NOT IN (SELECT url FROM s)""")
+@query(f"""WITH {_LINKS}, e AS (SELECT {_NORMAL_URL.format(u='url')} AS src, {_NORMAL_URL.format(u='target')} AS dst, place FROM b WHERE regexp_matches(target, '{web.PARTS}')),
+s AS (SELECT {_NORMAL_URL.format(u='url')} AS url FROM pages),
+ok AS (SELECT src, dst, min(place) AS place FROM e WHERE src <> dst AND len(list_filter([{_sql_list(web.BANNED)}], lambda x: contains(lower(dst), x))) = 0
+  AND regexp_extract(dst, '{web.PARTS}', 2) IN (SELECT regexp_extract(url, '{web.PARTS}', 2) FROM pages) GROUP BY src, dst),
+f AS (SELECT src, dst FROM ok QUALIFY row_number() OVER (PARTITION BY src ORDER BY place) <= 100)
+SELECT url, 0::INTEGER AS depth FROM s GROUP BY url UNION ALL SELECT DISTINCT dst AS url, 1::INTEGER AS depth FROM f WHERE dst NOT IN (SELECT url FROM s)""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    hosts = sorted(r[0] for r in pages.select(F.regexp_extract("url", web.PARTS, 2)).distinct().collect())
-    return crawl.frontier(crawl.page_links(pages, hosts), pages.select(web.normal_url(F.col("url")).alias("url")), 1)
+    return crawl.frontier(crawl.page_links(pages, None), pages.select(web.normal_url(F.col("url")).alias("url")), 1)
 
 
 @query(r"SELECT url, regexp_replace(url, '[^\pL\pN]+', '_', 'g') AS name FROM pages")

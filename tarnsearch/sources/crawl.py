@@ -10,16 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tarnsearch.functions.text import safe_name
-from tarnsearch.functions.web import absolute, banned, html_text, in_scope, links, normal_url
+from tarnsearch.functions.web import PARTS, absolute, banned, html_text, in_scope, links, normal_url
 
 LINKS_A_PAGE, PAGES = 100, 20
 
 
-def page_links(pages: DataFrame, domains: list[str], prefix: str = "", most: int = LINKS_A_PAGE) -> DataFrame:
-    """(src, dst): normal, in scope, not banned links of (url, html), the first ``most`` of each page."""
+def accepted_links(pages: DataFrame, domains: list[str] | None, prefix: str = "") -> DataFrame:
+    """(src, dst, place): normal, in scope, not banned links of (url, html) to other pages, each at its first place.
+
+    ``domains`` None: the hosts of the table's own pages.
+    """
     found = pages.select(normal_url(F.col("url")).alias("src"), F.posexplode(links(F.col("html"))).alias("place", "href"), "url")
-    found = found.select("src", "place", normal_url(absolute(F.col("href"), F.col("url"))).alias("dst")).where("place < " + str(most))
-    return found.where(in_scope(F.col("dst"), domains, prefix) & ~banned(F.col("dst")) & (F.col("dst") != F.col("src"))).select("src", "dst").distinct()
+    found = found.select("src", "place", normal_url(absolute(F.col("href"), F.col("url"))).alias("dst")).where(~banned(F.col("dst")) & (F.col("dst") != F.col("src")))
+    if domains is None:
+        hosts = pages.select(F.regexp_extract("url", PARTS, 2).alias("host")).distinct()
+        found = found.join(hosts, F.regexp_extract("dst", PARTS, 2) == F.col("host"), "left_semi")
+        found = found.where(F.regexp_extract("dst", PARTS, 3).startswith(prefix))
+    else:
+        found = found.where(in_scope(F.col("dst"), domains, prefix))
+    return found.groupBy("src", "dst").agg(F.min("place").alias("place"))
+
+
+def first_links(rows: DataFrame, most: int = LINKS_A_PAGE) -> DataFrame:
+    """The first ``most`` links of each page."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("place"))
+    return rows.withColumn("n", place).where(F.col("n") <= most).select("src", "dst")
+
+
+def page_links(pages: DataFrame, domains: list[str] | None, prefix: str = "", most: int = LINKS_A_PAGE) -> DataFrame:
+    """(src, dst): the first ``most`` accepted links of each page; links that aren't accepted don't count."""
+    return first_links(accepted_links(pages, domains, prefix), most)
 
 
 def frontier(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -33,12 +53,32 @@ def frontier(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return visited
 
 
-def from_pages(pages: DataFrame, start_url: str, domains: list[str], prefix: str = "", max_pages: int = PAGES, depth: int = 5) -> DataFrame:
-    """(url, text) of the pages reached over a table of pages, at most ``max_pages``, nearest first. State is this call's."""
-    begin = pages.sparkSession.createDataFrame([(start_url,)], "url string").select(normal_url(F.col("url")).alias("url"))
-    reached = frontier(page_links(pages, domains, prefix), begin, depth)
-    known = pages.select(normal_url(F.col("url")).alias("url"), html_text(F.col("html"), " ").alias("text"))
-    return reached.join(known, "url").where("text <> ''").orderBy("depth", "url").limit(max_pages).select("url", "text")
+def from_pages(pages: DataFrame, start_url: str, domains: list[str], prefix: str = "", max_pages: int = PAGES, depth: int | None = None) -> DataFrame:
+    """(url, text) of the pages reached over a table of pages, at most ``max_pages``, nearest first. State is this call's.
+
+    Levels are followed until one brings no page or there are pages enough; ``depth`` sets an end before that. Of a page's
+    accepted links those count that no level before has seen.
+    """
+    spark = pages.sparkSession
+    edges = accepted_links(pages, domains, prefix).persist()
+    known = pages.select(normal_url(F.col("url")).alias("url"), html_text(F.col("html"), " ").alias("text")).where("text <> ''")
+    level = spark.createDataFrame([(start_url,)], "url string").select(normal_url(F.col("url")).alias("url"))
+    seen, d, n = level.withColumn("depth", F.lit(0)), 0, 0
+    while True:
+        n += level.join(known, "url", "left_semi").count()
+        if n >= max_pages or d == depth:
+            break
+        d += 1
+        new = edges.join(level, F.col("src") == F.col("url"), "left_semi").join(seen, F.col("dst") == F.col("url"), "left_anti")
+        # A level has at most LINKS_A_PAGE links a page; it is read again for each level after it, so it is kept.
+        level = first_links(new).select(F.col("dst").alias("url")).distinct().persist()
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
+    out = seen.join(known, "url").orderBy("depth", "url").limit(max_pages).select("url", "text")
+    rows = out.collect()  # max_pages at most
+    edges.unpersist()
+    return spark.createDataFrame(rows, "url string, text string")
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], bytes | None]) -> DataFrame:
@@ -57,18 +97,26 @@ def fetched(urls: DataFrame, fetch: Callable[[str], bytes | None]) -> DataFrame:
     return urls.select("url", run(F.col("url")).alias("html"))
 
 
-def online(spark: SparkSession, start_url: str, domains: list[str], fetch: Callable[[str], bytes | None], prefix: str = "", max_pages: int = PAGES, depth: int = 5) -> DataFrame:
+def online(spark: SparkSession, start_url: str, domains: list[str], fetch: Callable[[str], bytes | None], prefix: str = "", max_pages: int = PAGES, depth: int | None = None) -> DataFrame:
     """from_pages() over the network: each level's pages are fetched in parallel, once, and kept."""
     begin = spark.createDataFrame([(start_url,)], "url string").select(normal_url(F.col("url")).alias("url"))
-    pages, level, seen = None, begin, begin
-    for _ in range(depth + 1):
-        got = fetched(level, fetch).persist()
+    pages, level, seen, kept, d = None, begin, begin, [], 0
+    while True:
+        kept.append(got := fetched(level, fetch).withColumn("depth", F.lit(d)).persist())
         pages = got if pages is None else pages.unionByName(got)
-        level = page_links(got, domains, prefix).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").limit(max_pages)
+        if (left := max_pages - pages.where("html <> ''").count()) <= 0 or d == depth:
+            break
+        d += 1
+        new = accepted_links(got, domains, prefix).join(seen, F.col("dst") == F.col("url"), "left_anti")
+        level = first_links(new).groupBy(F.col("dst").alias("url")).agg(F.lit(1).alias("one")).orderBy("url").limit(left).select("url")
         seen = seen.unionByName(level)
-        if level.isEmpty() or pages.count() >= max_pages:
+        if level.isEmpty():
             break
-    return pages.select("url", html_text(F.col("html"), " ").alias("text")).where("text <> ''").limit(max_pages)
+    out = pages.select("depth", "url", html_text(F.col("html"), " ").alias("text")).where("text <> ''").orderBy("depth", "url").limit(max_pages)
+    rows = out.select("url", "text").collect()  # max_pages at most
+    for x in kept:
+        x.unpersist()
+    return spark.createDataFrame(rows, "url string, text string")
 
 
 def as_sources(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -87,8 +135,3 @@ def saved(pages: DataFrame, folder: str) -> None:
 def ranked_links(pages: DataFrame) -> DataFrame:
     """(url, place, href) of all links of (url, html), as written."""
     return pages.select("url", F.posexplode(links(F.col("html"))).alias("place", "href"))
-
-
-def first_links(rows: DataFrame, most: int = LINKS_A_PAGE) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("url").orderBy("place"))
-    return rows.withColumn("n", place).where(F.col("n") <= most).drop("n")

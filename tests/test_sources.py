@@ -70,3 +70,18 @@ def test_every_row_of_the_decision_table(spark):
     after = mf.applied(manifest, mf.numbered(changes, mf.next_id(manifest)), "m")
     assert {r["path"]: r["doc_id"] for r in after.collect()} == {"same": 1, "edited": 2, "remodel": 3, "copy of same": 7, "nomodel": 6}
     assert mf.diff(scan, manifest, "m", force=True).where("action = 'unchanged'").count() == 0
+
+
+def test_only_accepted_links_count(spark):
+    """A link in scope after 120 others is followed, and pages more than five steps away are reached."""
+    many = "".join(f'<a href="http://other{i}/">t</a>' for i in range(120))
+    rows = [("http://x.y/", many + "<a href=/d/p0>t</a>text")] + [(f"http://x.y/d/p{i}", f'<a href="../d/./p{i + 1}">t</a>text') for i in range(8)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = crawl.from_pages(pages, "http://x.y/", ["x.y"])
+    assert [r["url"] for r in got.collect()] == ["http://x.y/", *(f"http://x.y/d/p{i}" for i in range(8))]
+    assert crawl.from_pages(pages, "http://x.y/", ["x.y"], depth=2).count() == 3
+
+
+def test_character_references(spark):
+    html = "it&#8217;s caf&eacute; &copy; &#x1F600; &nosuch; &amp;lt; a & b &#xD800;"
+    assert spark.createDataFrame([(html,)], "h string").select(web.html_text(F.col("h")).alias("t")).first()["t"] == "it’s café © \U0001f600 &nosuch; &lt; a & b &#xD800;"
