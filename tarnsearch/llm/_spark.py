@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While settling: shuffle files go when a write ends, and descriptions of plans, which the driver keeps, are short.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,15 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE}
     try:
+        for k, v in _WHILE.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_RELEASE)
-        else:
-            spark.conf.set(_RELEASE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -94,16 +94,17 @@ class Block:
             item = np.concatenate([np.full(len(s), i) for s, i, _ in found]) if found else np.zeros(0, np.int64)
             place = np.concatenate([p for _, _, p in found]) if found else np.zeros(0, np.int64)
             order = np.argsort(keys, kind="stable")
-            likely = np.zeros(1 << _BITS, dtype=bool)
-            likely[keys >> U64(64 - _BITS)] = True
-            self.found[mask] = keys[order], item[order], place[order], likely
+            bits = max(8, min(_BITS, len(keys).bit_length() + 6))  # a few in a hundred of the places are taken
+            likely = np.zeros(1 << bits, dtype=bool)
+            likely[keys >> U64(64 - bits)] = True
+            self.found[mask] = keys[order], item[order], place[order], likely, U64(64 - bits)
 
     def alignments(self, h: np.ndarray) -> np.ndarray:
         """Distinct (item, shift) of all hits in a document's tokens; item token j is at document token j + shift."""
         out = []
-        for mask, (keys, item, place, likely) in self.found.items():
+        for mask, (keys, item, place, likely, shift) in self.found.items():
             s = seeds(h, mask)
-            at = np.flatnonzero(likely[s >> U64(64 - _BITS)])
+            at = np.flatnonzero(likely[s >> shift])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(keys, s[at], "left"), np.searchsorted(keys, s[at], "right")

@@ -235,10 +235,10 @@ def count_contexts(train: DataFrame) -> list[np.ndarray]:
                 grams, _ = laid_out(*texts(part.column(0)))
                 found.append(np.unique(grams, return_counts=True))
                 held += len(found[-1][0])
-                if held > 4 << 20:
+                if held > 2 << 20:
                     found = [_merged(found)]
                     held = len(found[0][0])
-                    if held > 2 << 20:
+                    if held > 1 << 20:
                         tally(*found[0], tables)
                         found, held = [], 0
         if found:

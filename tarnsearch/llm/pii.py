@@ -60,35 +60,38 @@ _HINT = r"[0-9@]|:[0-9A-Fa-f]{0,4}:|sk-|gh[pousr]_|AKIA"
 _PEOPLE = "(?=[" + "".join(sorted({x[0] for x in TITLES_M + TITLES_F + NAMES_M + NAMES_F})) + r"])(?<!\p{L})" + _any(TITLES_M + TITLES_F + NAMES_M + NAMES_F) + r"(?!\p{L})"
 
 
-def mark(text: Column) -> Column:
-    """Text with each entity as OPEN, type, entity, CLOSE. Characters that serve as marks are escaped first."""
-    had = text.rlike(f"[{OPEN}{CLOSE}{ESCAPE}]")
-    out = text
+def mark(rows: DataFrame) -> DataFrame:
+    """The rows with their column ``text`` marked: each entity as OPEN, type, entity, CLOSE.
+
+    Characters that serve as marks are escaped first. Each step is a projection of the one before, so that no step's
+    expression is copied into the next.
+    """
+    rest = [c for c in rows.columns if c != "text"]
+    had = F.col("text").rlike(f"[{OPEN}{CLOSE}{ESCAPE}]")
+    out = F.col("text")
     for c, code in ((ESCAPE, "c"), (OPEN, "a"), (CLOSE, "b")):
         out = F.replace(out, F.lit(c), F.lit(ESCAPE + code))
-    safe = F.when(had, out).otherwise(text)
-    numbers = safe
+    hints = F.col("text").rlike(_HINT).alias("numbers_"), F.col("text").rlike(_PEOPLE).alias("people_")
+    rows = rows.select(*rest, *hints, F.when(had, out).otherwise(F.col("text")).alias("text"))
+    numbers = F.col("text")
     for kind, pattern in PATTERNS:
         numbers = F.regexp_replace(numbers, pattern + _OUTSIDE, f"{OPEN}{kind}$1{CLOSE}")
-    safe = F.when(text.rlike(_HINT), numbers).otherwise(safe)
-    people = safe
+    rows = rows.select(*rest, "people_", F.when(F.col("numbers_"), numbers).otherwise(F.col("text")).alias("text"))
+    people = F.col("text")
     two = rf"( )({_WORD})(?!\p{{L}})"
     for kind, titles, names in (("M", TITLES_M, NAMES_M), ("F", TITLES_F, NAMES_F)):
         both = f"{OPEN}{kind}$1{CLOSE}$2{OPEN}N$3{CLOSE}"
         people = F.regexp_replace(people, rf"(?<=(?<!\p{{L}}){_any(titles)}\.?[ ])({_WORD}){two}" + _OUTSIDE, both)
         people = F.regexp_replace(people, rf"(?<![\p{{L}}{OPEN}])(?<!{OPEN}[A-Z])({_any(names)}){two}" + _OUTSIDE, both)
     people = F.regexp_replace(people, rf"(?<=(?<!\p{{L}}){_any(TITLES_M + TITLES_F)}\.?[ ])({_WORD})(?!\p{{L}})" + _OUTSIDE, f"{OPEN}N$1{CLOSE}")
-    return F.when(text.rlike(_PEOPLE), mentions(people)).otherwise(safe)
-
-
-def mentions(marked: Column) -> Column:
-    """Marked text in which the parts of its marked names are marked wherever they stand alone."""
-    out = marked
-    for kind in "MFN":
-        names = F.array_distinct(F.regexp_extract_all(marked, F.lit(f"{OPEN}{kind}([^{CLOSE}]+){CLOSE}"), F.lit(1)))
-        pattern = F.concat(F.lit(rf"(?<![\p{{L}}{OPEN}'’-])(?<!{OPEN}[A-Z])("), F.array_join(names, "|"), F.lit(r")(?!\p{L}|['’-]\p{L})" + _OUTSIDE))
-        out = F.when(F.size(names) > 0, F.regexp_replace(out, pattern, F.lit(f"{OPEN}{kind}$1{CLOSE}"))).otherwise(out)
-    return out
+    rows = rows.select(*rest, "people_", F.when(F.col("people_"), people).otherwise(F.col("text")).alias("text"))
+    for kind in "MFN":  # the parts of marked names are marked wherever they stand alone
+        names = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{OPEN}{kind}([^{CLOSE}]+){CLOSE}"), F.lit(1)))
+        rows = rows.select(*rest, "people_", "text", F.when(F.col("people_"), names).alias("names_"))
+        pattern = F.concat(F.lit(rf"(?<![\p{{L}}{OPEN}'’-])(?<!{OPEN}[A-Z])("), F.array_join("names_", "|"), F.lit(r")(?!\p{L}|['’-]\p{L})" + _OUTSIDE))
+        again = F.regexp_replace(F.col("text"), pattern, F.lit(f"{OPEN}{kind}$1{CLOSE}"))
+        rows = rows.select(*rest, "people_", F.when(F.size("names_") > 0, again).otherwise(F.col("text")).alias("text"))
+    return rows.select(*rest, "text")
 
 
 def parts(marked: Column) -> Column:
@@ -319,9 +322,9 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     """
     text = F.col(text_col).cast("string")
     names = docs.columns
-    marked = mark(text)
     # Marks are made once, for all rows: what has none is passed on, what has some is looked up by id and text.
-    all_ = settle(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.when(marked.contains(OPEN), marked).alias("marked")))
+    all_ = mark(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), text.alias("text")))
+    all_ = settle(all_.select("row", F.when(F.col("text").contains(OPEN), F.col("text")).alias("marked")))
     clean = all_.where("marked is null").select("row", F.col(f"row.`{text_col}`").cast("string").alias("new"), F.lit(0).cast("long").alias("n"))
     dirty = all_.where("marked is not null").select("row", "marked", F.md5(F.concat_ws("\x1f", F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), "marked").cast("binary")).alias("name"))
     found = dirty.select("name", F.explode(entities(F.col("marked"))).alias("entity")).distinct()
