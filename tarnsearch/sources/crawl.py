@@ -61,23 +61,27 @@ def from_pages(pages: DataFrame, start_url: str, domains: list[str], prefix: str
     """
     spark = pages.sparkSession
     edges = accepted_links(pages, domains, prefix).persist()
-    known = pages.select(normal_url(F.col("url")).alias("url"), html_text(F.col("html"), " ").alias("text")).where("text <> ''")
+    known = pages.select(normal_url(F.col("url")).alias("url"), html_text(F.col("html"), " ").alias("text")).where("text <> ''").persist()
     level = spark.createDataFrame([(start_url,)], "url string").select(normal_url(F.col("url")).alias("url"))
-    seen, d, n = level.withColumn("depth", F.lit(0)), 0, 0
+    reached, d, n = [(level.first()[0], 0)], 0, 0
+    seen = spark.createDataFrame(reached, "url string, depth int")
     while True:
         n += level.join(known, "url", "left_semi").count()
         if n >= max_pages or d == depth:
             break
         d += 1
         new = edges.join(level, F.col("src") == F.col("url"), "left_semi").join(seen, F.col("dst") == F.col("url"), "left_anti")
-        # A level has at most LINKS_A_PAGE links a page; it is read again for each level after it, so it is kept.
-        level = first_links(new).select(F.col("dst").alias("url")).distinct().persist()
-        if level.isEmpty():
+        # Fewer than max_pages pages are followed, so urls here are at most LINKS_A_PAGE times that: their plans are cut.
+        found = [(r[0],) for r in first_links(new).select("dst").distinct().collect()]
+        if not found:
             break
-        seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
+        level = spark.createDataFrame(found, "url string")
+        reached += [(url, d) for (url,) in found]
+        seen = spark.createDataFrame(reached, "url string, depth int")
     out = seen.join(known, "url").orderBy("depth", "url").limit(max_pages).select("url", "text")
     rows = out.collect()  # max_pages at most
     edges.unpersist()
+    known.unpersist()
     return spark.createDataFrame(rows, "url string, text string")
 
 
