@@ -1,23 +1,25 @@
 """Language-model scores: logistic mixing of hashed-context bit predictors, beside a unigram base score.
 
 A text is its words, A-Z as a-z, with one space between them, and its end: what the base score is of. The model gives
-each bit of its UTF-8 bytes, and of a byte 0 that ends it, a probability. Predictors are counts of
-zeros and ones after contexts of one to four bytes and of the word so far (its last five bytes at most), in hashed tables
-of fixed size that are summed over all training texts. Their predictions are mixed in the logistic domain by weights that
-gates choose: by predictor, place of the bit in its byte, and how much was seen in the context. Weights learn in batches:
-a task gathers grams until two million distinct ones are held and takes gradient steps over each once, weighted by its
-count, in sorted order, 32,768 a step, with one occurrence left out of the counts. Tasks' weights are averaged by bytes. A last table refines the mixture by what followed such predictions, learned in the same pass.
-
-What tasks hold has a fixed size: tables, weights, and a cache of costs of (context, byte), since texts repeat them.
-
-The base score needs each word's count in the training texts. Counts of at most FREQUENT words are sent to all tasks; the
-other words' occurrences are joined with their counts.
+each bit of its UTF-8 bytes, and of a byte 0 that ends it, a probability. Predictors are counts of zeros and ones after
+contexts of one, three, four and five bytes and of the word so far (its last WORD bytes; the last three bytes where it is
+shorter). Counts are exact and grow with the training texts: a row for each distinct gram, which is a context of five
+bytes and the word so far, by hash, with the byte that followed.
+
+Grams are dealt by the last three bytes before the byte, so all contexts but that of one byte (65,536 counts, sent to all
+tasks) are counted within a task. A task learns online: it takes gradient steps over STEP grams at a time, each weighted by its
+occurrences, with one occurrence left out of the counts. Weights are chosen by gates: how much was seen in the context,
+which contexts are known, and the place of the bit in its byte. A table refines the mixture by what followed
+such predictions. Tasks' weights are averaged by occurrences. The deal, the order of grams and so the scores depend on the
+rows only, not on how they are partitioned.
+
+Each distinct gram's cost is computed once. Those of the FREQUENT_GRAMS most frequent are sent to all tasks; the other grams'
+occurrences are joined with their costs. So are counts of words, of which FREQUENT are sent, for the base score.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,20 +29,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm._bytes import LOWER, SPACE, U64, pieces, texts, word_hashes, words
+from tarnsearch.llm._bytes import LOWER, SPACE, U64, mix, pieces, prefix, span_hash, texts, word_hashes, words
 from tarnsearch.llm._spark import settle
 from tarnsearch.llm.langid import remainder
 
-BITS = (16, 20, 22, 22, 22)  # of the tables' sizes: contexts of 1, 2, 3, 4 bytes, the word so far
-ORDERS = (1, 2, 3, 4)
+PREDICTORS = 5  # contexts of 1, 3, 4, 5 bytes, the word so far
 LEVELS = 16
+PLACES = 3
+GATES = 16
 BUCKETS = 33
 FREQUENT = 1 << 18
+FREQUENT_GRAMS = 1 << 21
 PAST = 5
-_BLOCK = 16
-_RATE = 0.1
+NEAR = 3
+WORD = 20
+STEP = 1024
+_SHAPE = (PLACES, GATES, PREDICTORS, LEVELS)
+_RATE = 0.05
 _PIECE = 1 << 20
+_HELD = 1 << 18
 _LEVEL = np.minimum(np.log2(np.arange(1 << LEVELS - 1) + 1).astype(np.int64), LEVELS - 1)
+_GRAMS = "near long, gram long, word long, n long, times long"
 
 
 def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,249 +63,302 @@ def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
-def laid_out(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, where each text's begin plus a last entry): a gram is the five bytes before a byte and the byte."""
+def laid_out(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, words so far, where each text's begin plus a last entry): a gram is the five bytes before a byte and the byte."""
     raw, off = normalised(raw, off)
     n = len(off) - 1
     size = np.diff(off) + PAST + 1
     to = np.concatenate([[0], np.cumsum(size)])
-    wide = np.zeros(to[-1], dtype=U64)
+    line = np.zeros(to[-1], dtype=np.uint8)
     inside = np.ones(to[-1], dtype=bool)
     inside[(to[:-1][:, None] + np.arange(PAST)).ravel()] = False
     place = inside.copy()
     place[to[1:] - 1] = False
-    wide[place] = raw
-    grams = np.zeros(to[-1], dtype=U64)
-    for k in range(PAST + 1):
-        grams[k:] |= wide[: len(wide) - k] << U64(8 * k) if k else wide
-    return grams[inside], to - PAST * np.arange(n + 1)
-
-
-def slots(grams: np.ndarray, known: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(each table's slot, the node in the byte's tree) once ``known`` bits of the last byte are known."""
-    byte = grams & U64(255)
-    node = U64(1 << known) | byte >> U64(8 - known)
-    past = grams >> U64(8)
-    word, open_, size = np.zeros_like(past), np.ones(len(past), dtype=bool), np.zeros_like(past)
-    for k in range(PAST):
-        c = LOWER[(past >> U64(8 * k) & U64(255)).astype(np.uint8)].astype(U64)
-        open_ = open_ & (c > U64(32))
-        word |= np.where(open_, c, U64(0)) << U64(8 * k)
-        size += open_
-    out = [((past & U64(255)) << U64(8) | node).astype(np.int64)]
-    for k, of in enumerate((*(past & U64((1 << 8 * n) - 1) for n in ORDERS[1:]), word), 2):
-        h = (of * U64(256) + node) * U64(0x9E3779B97F4A7C15) + U64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-        h ^= h >> U64(29)
-        out.append((h * U64(0xBF58476D1CE4E5B9) >> U64(64 - BITS[k - 1])).astype(np.int64))
-    return out, node.astype(np.int64)
-
-
-def tally(grams: np.ndarray, counts: np.ndarray, tables: list[np.ndarray]) -> None:
-    for known in range(8):
-        at, _ = slots(grams, known)
-        bit = (grams >> U64(7 - known) & U64(1)).astype(np.int64)
-        for table, place in zip(tables, at, strict=True):
-            np.add.at(table.reshape(-1), place * 2 + bit, counts.astype(np.uint32))
+    line[place] = raw
+    wide = line.astype(U64)
+    grams = wide.copy()
+    for k in range(1, PAST + 1):
+        grams[k:] |= wide[:-k] << U64(8 * k)
+    at = np.arange(to[-1])
+    opened = np.maximum.accumulate(np.where((line == 0) | (line == 0x20), at + 1, 0))  # where a word after this byte begins
+    at = at[inside]
+    begin = np.minimum(np.maximum(opened[at - 1], at - WORD), at - NEAR)
+    return grams[inside], span_hash(prefix(line), begin, at), to - PAST * np.arange(n + 1)
+
+
+def names(grams: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of gram and word so far."""
+    return mix(grams * U64(0x9E3779B97F4A7C15) + word)
+
+
+class Seen:
+    """Distinct grams of a task with their occurrences in training texts and in all texts."""
+
+    def __init__(self):
+        self.mark = np.zeros(1 << 22, dtype=bool)
+        self.clear()
+
+    def clear(self) -> None:
+        self.name, self.gram, self.word = (np.zeros(0, U64) for _ in range(3))
+        self.n, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, grams: np.ndarray, word: np.ndarray, train: bool) -> None:
+        name = names(grams, word)
+        own, count = np.unique(name, return_counts=True)
+        at = np.searchsorted(self.name, own)
+        old = self.name[np.minimum(at, len(self.name) - 1)] == own if len(self.name) else np.zeros(len(own), bool)
+        for sums in (self.times, self.n) if train else (self.times,):
+            sums[at[old]] += count[old]
+        if (~old).any():
+            new, n = own[~old], count[~old]
+            slot = (new >> U64(42)).astype(np.int64)
+            self.mark[slot] = True
+            near = np.flatnonzero(self.mark[(name >> U64(42)).astype(np.int64)])
+            self.mark[slot] = False
+            order = near[np.argsort(name[near], kind="stable")]
+            which = order[np.searchsorted(name[order], new)]
+            into = at[~old]
+            self.name, self.gram, self.word = (np.insert(x, into, y) for x, y in ((self.name, new), (self.gram, grams[which]), (self.word, word[which])))
+            self.n, self.times = np.insert(self.n, into, n if train else 0), np.insert(self.times, into, n)
+
+    def rows(self) -> pa.RecordBatch:
+        near = self.gram >> U64(8) & U64((1 << 8 * NEAR) - 1)
+        cols = [pa.array(x.astype(np.int64)) for x in (near, self.gram, self.word, self.n, self.times)]
+        self.clear()
+        return pa.RecordBatch.from_arrays(cols, ["near", "gram", "word", "n", "times"])
+
+
+def gram_counts(rows: DataFrame, parts: int) -> DataFrame:
+    """(near, gram, word, n, times) of the rows (text, train): near are the last three bytes before the gram's last."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for part in pieces(batch, "text", _PIECE):
+                train = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                for which in (True, False):
+                    chosen = part.column(0).filter(pa.array(train == which))
+                    if len(chosen):
+                        seen.add(*laid_out(*texts(chosen))[:2], which)
+                if len(seen.name) > 2 << 20:
+                    yield seen.rows()
+        if len(seen.name):
+            yield seen.rows()
 
-def empty_tables() -> list[np.ndarray]:
-    return [np.zeros((1 << b, 2), dtype=np.uint32) for b in BITS]
-
-
-def packed(tables: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Blocks of what isn't 0: (table and block, compressed slots and counts)."""
-    for k, table in enumerate(tables):
-        for b in range(max(1, len(table) >> _BLOCK)):
-            part = table[b << _BLOCK : (b + 1) << _BLOCK]
-            at = np.flatnonzero(part.any(1))
-            if len(at):
-                yield k << 20 | b, zlib.compress(at.astype("<u2").tobytes() + part[at].T.astype("<u8").tobytes(), 1)
-
+    found = rows.select("text", "train").mapInArrow(run, _GRAMS).repartition(parts, "near")
+    return found.groupBy("near", "gram", "word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(blob)
-    n = len(raw) // 18
-    return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<u8", 2 * n, 2 * n).reshape(2, n).T.astype(np.int64)
 
+def after_one(counts: DataFrame) -> np.ndarray:
+    """Occurrences of a byte (second axis) after a byte in training texts."""
+    out = np.zeros((256, 256))
+    for pair, n in counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n")).collect():
+        out[pair >> 8, pair & 255] = n
+    return out
 
-def frozen(tables: list[np.ndarray]) -> list[bytes]:
-    """Tables as compressed bytes: small where few slots are used, at most the tables' fixed size."""
-    return [zlib.compress(np.ascontiguousarray(t, dtype="<f4").tobytes(), 1) for t in tables]
 
+def totals(gram: np.ndarray, word: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """By predictor, s and gram: occurrences after the context of bytes with the same bits above the last s.
 
-def thawed(name: str, blobs: list[bytes], _kept: dict = {}) -> list[np.ndarray]:  # noqa: B006
-    """The tables again; a worker keeps the last."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = [np.frombuffer(zlib.decompress(b), "<f4").reshape(-1, 2) for b in blobs]
-    return _kept[name]
+    The grams must be all that follow their last three bytes.
+    """
+    out = np.empty((PREDICTORS, 9, len(gram)), np.float32)
+    byte, past = (gram & U64(255)).astype(np.int64), gram >> U64(8)
+    before = (past & U64(255)).astype(np.int64)
+    for s in range(9):
+        out[0, s] = one.reshape(256, 256 >> s, 1 << s).sum(-1)[before, byte >> s]
+    for k, of in enumerate((*(past & U64((1 << 8 * m) - 1) for m in (NEAR, 4, 5)), word), 1):
+        order = np.argsort(of, kind="stable")
+        sorted_ = of[order]
+        which = np.empty(len(of), np.int64)
+        which[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+        key = which << 8 | byte
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        for s in range(9):
+            node = key >> s
+            run = np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))
+            out[k, s, order] = np.bincount(run, n[order])[run]
+    return out
 
 
 @dataclass
 class Mixer:
-    """Tables and weights; ``refine`` has (ones, all) by node and bucket of the mixed prediction."""
+    """Weights by place, gate, predictor and level; ``refine`` has (ones, all) by node and bucket of the mixed prediction."""
 
-    tables: list[np.ndarray]
     weights: np.ndarray
     refine: np.ndarray
 
     @classmethod
-    def start(cls, tables: list[np.ndarray]) -> Mixer:
-        return cls(tables, np.full((len(BITS), 8, LEVELS), 0.3), np.zeros((256, BUCKETS, 2)))
-
-    def inputs(self, grams: np.ndarray, known: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(predictions in the logistic domain, levels of what was seen, bits, nodes); own: leave out one of each bit."""
-        at, node = slots(grams, known)
-        bit = (grams >> U64(7 - known) & U64(1)).astype(np.int64)
-        stretch, level = np.empty((len(at), len(grams)), np.float32), np.empty((len(at), len(grams)), np.int64)
-        for k, place in enumerate(at):
-            n = self.tables[k].take(place, axis=0)
-            zeros, ones = n[:, 0], n[:, 1]
-            if own:
-                ones = np.maximum(ones - bit, 0)
-                zeros = np.maximum(zeros - (1 - bit), 0)
-            stretch[k] = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
-            level[k] = _LEVEL.take((zeros + ones).astype(np.int64), mode="clip")
-        return stretch, level, bit, node
-
-    def dot(self, stretch: np.ndarray, level: np.ndarray, known: int) -> np.ndarray:
-        return sum(self.weights[k, known][level[k]] * stretch[k] for k in range(len(BITS)))
+    def start(cls) -> Mixer:
+        return cls(np.full(_SHAPE, 0.3), np.zeros((256, BUCKETS, 2)))
+
+    @staticmethod
+    def inputs(sums: np.ndarray, bit: np.ndarray, known: int, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(predictions in the logistic domain, levels of what was seen, gates); own: occurrences to leave out."""
+        all_ = np.maximum(sums[:, 8 - known] - own, 0)
+        same = np.maximum(sums[:, 7 - known] - own, 0)
+        stretch = np.log((same + np.float32(0.2)) / (all_ - same + np.float32(0.2))) * np.where(bit, np.float32(1), np.float32(-1))
+        level = _LEVEL.take(all_.astype(np.int64), mode="clip")
+        gate = ((all_[1:] > 0) * (1 << np.arange(PREDICTORS - 1))[:, None]).sum(0)
+        return stretch, level, gate
+
+    @staticmethod
+    def place(known: int) -> int:
+        return 0 if known == 0 else 1 if known < 4 else 2
 
     @staticmethod
     def bucket(dot: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(dot * 2).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
 
-    def learn(self, grams: np.ndarray, counts: np.ndarray, step: np.ndarray, chunk: int = 1 << 15) -> None:
-        """Online steps over chunks of distinct grams; step holds the sums of squared gradients."""
-        for a in range(0, len(grams), chunk):
-            g, c = grams[a : a + chunk], counts[a : a + chunk].astype(np.float64)
+    def learn(self, gram: np.ndarray, n: np.ndarray, sums: np.ndarray, step: np.ndarray) -> None:
+        """Online steps over STEP grams each, in the given order; step holds the sums of squared gradients."""
+        each = np.arange(PREDICTORS)[:, None]
+        byte = (gram & U64(255)).astype(np.int64)
+        for a in range(0, len(gram), STEP):
+            c, b, part = n[a : a + STEP].astype(np.float64), byte[a : a + STEP], sums[:, :, a : a + STEP]
             for known in range(8):
-                stretch, level, bit, node = self.inputs(g, known, True)
-                dot = np.clip(self.dot(stretch, level, known), -12, 12)
+                bit, node, at = b >> 7 - known & 1, 1 << known | b >> 8 - known, self.place(known)
+                stretch, level, gate = self.inputs(part, bit, known, 1)
+                dot = np.clip((self.weights[at, gate, each, level] * stretch).sum(0), -12, 12)
                 p = 1 / (1 + np.exp(-dot))
                 cell = node * BUCKETS + self.bucket(dot)
                 for j, x in enumerate((c * bit, c)):
                     self.refine[..., j] += np.bincount(cell, x, 256 * BUCKETS).reshape(256, BUCKETS)
-                error = (bit - p) * c
-                for k in range(len(BITS)):
-                    gradient = np.bincount(level[k], error * stretch[k], LEVELS)
-                    step[k, known] += gradient * gradient
-                    self.weights[k, known] += _RATE * gradient / np.sqrt(step[k, known] + 1e-9)
-
-    def bits(self, grams: np.ndarray) -> np.ndarray:
-        """Cost in bits of each gram's last byte after its first five."""
-        out = np.zeros(len(grams))
-        for a in range(0, len(grams), 1 << 16):
-            g = grams[a : a + (1 << 16)]
+                slot = (gate * PREDICTORS + each) * LEVELS + level
+                gradient = np.bincount(slot.ravel(), ((bit - p) * c * stretch).ravel(), GATES * PREDICTORS * LEVELS).reshape(_SHAPE[1:])
+                step[at] += gradient * gradient
+                self.weights[at] += _RATE * gradient / np.sqrt(step[at] + 1e-9)
+
+    def bits(self, gram: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Cost in bits of each gram's last byte."""
+        out, each = np.zeros(len(gram)), np.arange(PREDICTORS)[:, None]
+        byte = (gram & U64(255)).astype(np.int64)
+        for a in range(0, len(gram), 1 << 15):
+            b, part = byte[a : a + (1 << 15)], sums[:, :, a : a + (1 << 15)]
             for known in range(8):
-                stretch, level, bit, node = self.inputs(g, known, False)
-                dot = np.clip(self.dot(stretch, level, known), -12, 12)
+                bit, node = b >> 7 - known & 1, 1 << known | b >> 8 - known
+                stretch, level, gate = self.inputs(part, bit, known, 0)
+                dot = np.clip((self.weights[self.place(known), gate, each, level] * stretch).sum(0), -12, 12)
                 p = 1 / (1 + np.exp(-dot))
                 seen = self.refine[node, self.bucket(dot)]
-                p = (p + (seen[:, 0] + 4 * p) / (seen[:, 1] + 4)) / 2
-                p = np.clip(p, 1e-5, 1 - 1e-5)
-                out[a : a + len(g)] -= np.log2(np.where(bit == 1, p, 1 - p))
+                p = np.clip((p + (seen[:, 0] + 4 * p) / (seen[:, 1] + 4)) / 2, 1e-5, 1 - 1e-5)
+                out[a : a + len(b)] -= np.log2(np.where(bit == 1, p, 1 - p))
         return out
 
 
-class Costs:
-    """Costs of grams, with a cache of fixed size by hash."""
-
-    def __init__(self, mixer: Mixer, bits: int = 21):
-        self.mixer, self.shift = mixer, U64(64 - bits)
-        self.key, self.cost = np.zeros(1 << bits, dtype=U64), np.zeros(1 << bits, dtype=np.float64)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        name = grams + U64(1)
-        at = (name * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-        out = self.cost[at]
-        miss = np.flatnonzero(self.key[at] != name)
-        if len(miss):
-            new, which = np.unique(grams[miss], return_inverse=True)
-            cost = self.mixer.bits(new)
-            out[miss] = cost[which]
-            place = ((new + U64(1)) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-            self.key[place], self.cost[place] = new + U64(1), cost
-        return out
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows in the order of ``near``, some _HELD rows a time or more, and never a value's rows apart."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= _HELD:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield [x[:cut] for x in whole]
+            held = [[x[cut:] for x in whole]]
+            size = len(held[0][0]) if cut else size // 2  # of one value: wait for as many again
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    own, which = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-    return own, np.bincount(which, np.concatenate([c for _, c in found])).astype(np.int64)
 
+def _dealt(counts: DataFrame, parts: int) -> DataFrame:
+    return counts.repartition(parts, "near").sortWithinPartitions("near", "gram", "word").select("near", "gram", "word", "n", "times")
 
-def count_contexts(train: DataFrame) -> list[np.ndarray]:
-    """The tables of all training texts. A task sends what isn't 0 of its own; blocks are summed where they meet."""
 
+def train_mixer(counts: DataFrame, parts: int, one: np.ndarray) -> Mixer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, found, held = empty_tables(), [], 0
+        mixer, step, seen = Mixer.start(), np.full(_SHAPE, 1e-6), 0
+        for _, gram, word, n, _ in _groups(batches):
+            sums = totals(gram.astype(U64), word.astype(U64), n, one)
+            order = np.random.default_rng(len(n)).permutation(len(n))
+            order = order[n[order] > 0]
+            mixer.learn(gram[order].astype(U64), n[order], sums[:, :, order], step)
+            seen += int(n.sum())
+        if seen:
+            values = np.concatenate([(mixer.weights * seen).ravel(), mixer.refine.ravel(), [seen]])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([values.astype("<f8").tobytes()], pa.binary())], ["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
         for batch in batches:
-            for part in pieces(batch, "text", _PIECE):
-                grams, _ = laid_out(*texts(part.column(0)))
-                found.append(np.unique(grams, return_counts=True))
-                held += len(found[-1][0])
-                if held > 2 << 20:
-                    found = [_merged(found)]
-                    held = len(found[0][0])
-                    if held > 1 << 20:
-                        tally(*found[0], tables)
-                        found, held = [], 0
-        if found:
-            tally(*_merged(found), tables)
-        for k, blob in packed(tables):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
-
-    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in rows:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, n = unpacked(blob)
-                if k not in sums:
-                    sums[k] = np.zeros((1 << _BLOCK, 2), dtype=np.int64)
-                sums[k][at] += n
-        for k, table in sums.items():
-            blob = next(packed([table]))[1]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
-
-    rows = train.select("text").mapInArrow(run, "block long, blob binary")
-    # Two rounds: a block's parts meet in several tasks first, so no task reads all parts of a block.
-    parts = rows.repartition("block", F.pmod(F.xxhash64("blob"), F.lit(16))).mapInArrow(add, "block long, blob binary")
-    tables = [np.zeros((1 << b, 2), dtype=np.float32) for b in BITS]  # exact up to 2**24, then rounded
-    for block, blob in parts.repartition("block").mapInArrow(add, "block long, blob binary").collect():
-        at, n = unpacked(bytes(blob))
-        tables[block >> 20][at + ((block & 0xFFFFF) << _BLOCK)] = n
-    return tables
-
-
-def train_mixer(train: DataFrame, tables: list[np.ndarray]) -> Mixer:
-    shape = (len(BITS), 8, LEVELS)
-    shared = train.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frozen(tables)))
+            for blob in batch.column(1).to_pylist():
+                own = np.frombuffer(blob, "<f8")
+                out = own if out is None else out + own
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+
+    kind = "part long, sums binary"
+    found = _dealt(counts, parts).mapInArrow(run, kind).repartition(1).sortWithinPartitions("part").mapInArrow(add, kind).first()
+    if found is None:
+        return Mixer.start()
+    sums, size = np.frombuffer(bytes(found[1]), "<f8"), int(np.prod(_SHAPE))
+    return Mixer((sums[:size] / sums[-1]).reshape(_SHAPE), sums[size:-1].reshape(256, BUCKETS, 2))
+
+
+def gram_costs(counts: DataFrame, parts: int, mixer: Mixer, one: np.ndarray) -> DataFrame:
+    """(word, n, cost): name of each gram, its occurrences in all texts, and its last byte's cost in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, step, n = Mixer.start(thawed(*shared.value)), np.full(shape, 1e-6), 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for part in pieces(batch, "text", _PIECE):
-                grams, _ = laid_out(*texts(part.column(0)))
-                found.append(np.unique(grams, return_counts=True))
-                n += len(grams)
-                if sum(len(g) for g, _ in found) > 2 << 20:  # texts repeat their grams: learn each once, by its count
-                    mixer.learn(*_merged(found), step)
-                    found = []
-        if found:
-            mixer.learn(*_merged(found), step)
-        if n:
-            values = np.concatenate([(mixer.weights * n).ravel(), mixer.refine.ravel(), [n]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
-
-    size = int(np.prod(shape))
-    sums = np.zeros(size + 256 * BUCKETS * 2 + 1)
-    for place, value in train.select("text").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value")).collect():
-        sums[place] = value
-    shared.destroy()
-    if not sums[-1]:
-        return Mixer.start(tables)
-    return Mixer(tables, (sums[:size] / sums[-1]).reshape(shape), sums[size:-1].reshape(256, BUCKETS, 2))
+        for _, gram, word, n, times in _groups(batches):
+            gram, word = gram.astype(U64), word.astype(U64)
+            cost = mixer.bits(gram, totals(gram, word, n, one)).astype(np.float32).astype(np.float64)  # sent or joined, the same
+            cols = [pa.array(names(gram, word).astype(np.int64)), pa.array(times), pa.array(cost)]
+            yield pa.RecordBatch.from_arrays(cols, ["word", "n", "cost"])
+
+    return _dealt(counts, parts).mapInArrow(run, "word long, n long, cost double")
+
+
+class Lookup:
+    """Costs by name in two tables of fixed size; what finds no slot in either isn't in it, and is joined."""
+
+    def __init__(self, name: np.ndarray, n: np.ndarray, cost: np.ndarray, bits: int = 23):
+        order = np.argsort(n, kind="stable")  # the most frequent are written last and stay
+        name, cost = name[order], cost[order]
+        self.tables = []
+        for shift, size in ((64 - bits, 1 << bits), (0, 1 << bits - 2)):
+            slot = self._slot(name, shift, size)
+            at = np.full(size, -1, np.int32)
+            at[slot] = np.arange(len(name), dtype=np.int32)
+            key, value, used = np.zeros(size, U64), np.full(size, np.nan, np.float32), at >= 0
+            key[used], value[used] = name[at[used]], cost[at[used]]
+            self.tables.append((shift, size, key, value))
+            rest = key[slot] != name
+            name, cost = name[rest], cost[rest]
+
+    @staticmethod
+    def _slot(name: np.ndarray, shift: int, size: int) -> np.ndarray:
+        return (name >> U64(shift) & U64(size - 1)).astype(np.int64)
+
+    def __call__(self, name: np.ndarray) -> np.ndarray:
+        """Costs; NaN where a name isn't there."""
+        out = None
+        for shift, size, key, value in self.tables:
+            miss = np.arange(len(name)) if out is None else np.flatnonzero(np.isnan(out))
+            slot = self._slot(name[miss], shift, size)
+            got = np.where(key[slot] == name[miss], value[slot], np.float32(np.nan))
+            if out is None:
+                out = got
+            else:
+                out[miss] = got
+        return out
+
+
+def _kept(name: str, make, _last: dict = {}):  # noqa: B006
+    """What a worker made last under a name."""
+    if name not in _last:
+        _last.clear()
+        _last[name] = make()
+    return _last[name]
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    own, which = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+    return own, np.bincount(which, np.concatenate([c for _, c in found])).astype(np.int64)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -325,8 +387,8 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(words ascending, counts) of the words from a count on, ``most`` at most."""
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, ...]:
+    """(words ascending, counts, other columns) of the words from a count on, ``most`` at most."""
     step = F.floor(F.log2("n") * 16).cast("int")
     left, least = most, None
     for s, n in sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True):
@@ -335,11 +397,11 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
             break
         least = s
     if least is None:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return (np.zeros(0, U64), *(np.zeros(0) for _ in counts.columns[1:]))
     found = counts.where(step >= least).toArrow()
-    word, n = found["word"].to_numpy().astype(U64), found["n"].to_numpy()
+    word = found["word"].to_numpy().astype(U64)
     order = np.argsort(word)
-    return word[order], n[order]
+    return (word[order], *(found[c].to_numpy()[order] for c in counts.columns[1:]))
 
 
 def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,23 +414,31 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = rows.where(is_train(F.col("doc_id")))
     counts = settle(word_counts(train))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
-    n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
-    known, n_known = frequent(counts)
-    mixer = train_mixer(train, count_contexts(train))
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frozen(mixer.tables), mixer.weights, mixer.refine, known, n_known))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_train, distinct = sums[0] + ends, sums[1] + (ends > 0)
+    known, n_known = frequent(counts, FREQUENT)
+    parts = max(1, min(1 << 16, size >> 24))
+    grams = settle(gram_counts(rows.select("text", is_train(F.col("doc_id")).alias("train")), parts))
+    one = after_one(grams)
+    costs = settle(gram_costs(grams, parts, train_mixer(grams, parts, one), one))
+    gram, times, cost = frequent(costs, FREQUENT_GRAMS)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, gram, times.astype(np.float32), cost.astype(np.float32), known, n_known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, tables, weights, refine, word, n = shared.value
-        costs, row = Costs(Mixer(thawed(name, tables), weights, refine)), TaskContext.get().partitionId() << 36
+        name, gram, times, cost, word, n = shared.value
+        lookup, row = _kept(name, lambda: Lookup(gram, times, cost)), TaskContext.get().partitionId() << 36
         logs = np.log10(n + 1.0)
         for batch in batches:
             for part in pieces(batch, "text", _PIECE):
                 raw, off = texts(part.column(1))
-                grams, to = laid_out(raw, off)
-                spent = np.concatenate([[0.0], np.cumsum(costs(grams))])
-                bits = spent[to[1:]] - spent[to[:-1]]
+                grams, so_far, to = laid_out(raw, off)
+                called = names(grams, so_far)
+                spent = lookup(called)
+                lost = np.isnan(spent)
+                bits = np.add.reduceat(np.where(lost, 0.0, spent.astype(np.float64)), to[:-1])
+                other = called[lost].astype(np.int64)
+                other_at = np.concatenate([[0], np.cumsum(lost)])[to]
                 h, first = word_hashes(raw, off)
                 at = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
                 hit = word[at] == h if len(word) else np.zeros(len(h), bool)
@@ -379,15 +449,19 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
                 cols = [
                     pa.array(np.arange(row, row + part.num_rows)), part.column(0), pa.array(np.diff(first) + 1), pa.array(seen[first[1:]] - seen[first[:-1]]),
                     pa.array(sums[first[1:]] - sums[first[:-1]]), pa.array(bits), pa.array(np.diff(to)), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.array(rest)),
+                    pa.ListArray.from_arrays(pa.array(other_at, pa.int32()), pa.array(other)),
                 ]
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_hit", "logs", "bits", "n_bytes", "rest"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_hit", "logs", "bits", "n_bytes", "rest", "other"])
 
-    first = settle(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_hit long, logs double, bits double, n_bytes long, rest array<long>"))
+    first = settle(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_hit long, logs double, bits double, n_bytes long, rest array<long>, other array<long>"))
     shared.destroy()
     rare = first.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rare = rare.join(counts, "word").groupBy(F.col("row").alias("row_")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = first.drop("rest").join(rare, F.col("row") == F.col("row_"), "left")
+    other = first.select("row", F.explode("other").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    other = other.join(costs.select("word", "cost"), "word").groupBy(F.col("row").alias("row__")).agg(F.sum(F.col("times") * F.col("cost")).alias("more_bits"))
+    out = first.drop("rest", "other").join(rare, F.col("row") == F.col("row_"), "left").join(other, F.col("row") == F.col("row__"), "left")
+    out = out.withColumn("bits", F.col("bits") + F.coalesce("more_bits", F.lit(0.0)))
     space = float(np.log10(max(1.0, n_train + 1.0 * (distinct + 1.0))))
     end = float(np.log10(ends + 1.0))
     return out.select(

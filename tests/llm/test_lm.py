@@ -36,20 +36,59 @@ def test_scores(spark, edge_rows, monkeypatch):
     assert kind < noise
 
 
+def _counted(rows):
+    seen = lm.Seen()
+    for text, train in rows:
+        seen.add(*lm.laid_out(*texts(pa.array([text])))[:2], train)
+    return seen
+
+
+def test_occurrences():
+    rows = [("the cat sat on the mat", True), ("the dog sat", False), ("the cat", True)]
+    seen = _counted(rows)
+    want, train = Counter(), Counter()
+    for text, own in rows:
+        line = b"\0" * lm.PAST + text.encode() + b"\0"
+        for i in range(lm.PAST, len(line)):
+            gram = int.from_bytes(line[i - lm.PAST : i + 1], "big")
+            want[gram] += 1
+            train[gram] += own
+    got, got_train = Counter(), Counter()
+    for g, n, t in zip(seen.gram.tolist(), seen.n.tolist(), seen.times.tolist(), strict=True):
+        got[g] += t
+        got_train[g] += n
+    assert got == want and +got_train == +train
+    sums = lm.totals(seen.gram, seen.word, seen.n, np.zeros((256, 256)))
+    for k, size in ((1, 3), (2, 4), (3, 5)):
+        for i, g in enumerate(seen.gram.tolist()):
+            for s in range(9):
+                same = lambda x: x >> 8 & (1 << 8 * size) - 1 == g >> 8 & (1 << 8 * size) - 1 and (x & 255) >> s == (g & 255) >> s  # noqa: B023, E731
+                assert sums[k, s, i] == sum(n for x, n in zip(seen.gram.tolist(), seen.n.tolist(), strict=True) if same(x))
+
+
 def test_probabilities_of_next_bytes_add_up():
-    raw, off = texts(pa.array(["the cat sat on the mat", "the dog sat"]))
-    grams, _ = lm.laid_out(raw, off)
-    own, n = np.unique(grams, return_counts=True)
-    tables = lm.empty_tables()
-    lm.tally(own, n, tables)
-    mixer = lm.Mixer.start(tables)
-    mixer.learn(own, n, np.full(mixer.weights.shape, 1e-6))
-    past = grams[7] & ~np.uint64(255)
-    bits = mixer.bits(past | np.arange(256, dtype=np.uint64))
-    assert math.isclose(float((2.0**-bits).sum()), 1.0, rel_tol=1e-6)
-    cached = lm.Costs(mixer, bits=4)  # a small cache: entries push each other out
-    for _ in range(2):
-        assert np.allclose(cached(grams), mixer.bits(grams))
+    seen = _counted([("the cat sat on the mat", True), ("the dog sat", True)])
+    at = 7
+    gram = np.concatenate([seen.gram, seen.gram[at] & ~np.uint64(255) | np.arange(256, dtype=np.uint64)])
+    word = np.concatenate([seen.word, np.full(256, seen.word[at])])
+    n = np.concatenate([seen.n, np.zeros(256, np.int64)])
+    one = np.bincount((seen.gram & np.uint64(0xFFFF)).astype(int), seen.n, 1 << 16).reshape(256, 256)
+    sums = lm.totals(gram, word, n, one)
+    mixer = lm.Mixer.start()
+    mixer.learn(seen.gram, seen.n, sums[:, :, : len(seen.n)], np.full(mixer.weights.shape, 1e-6))
+    bits = mixer.bits(gram, sums)[-256:]
+    assert math.isclose(float((2.0**-bits).sum()), 1.0, rel_tol=1e-5)
+    name = lm.names(gram, word)
+    found = lm.Lookup(name, n, np.arange(len(name)), bits=6)(name)  # small tables: entries push each other out
+    assert np.isnan(found).any() and all(name[int(k)] == x for k, x in zip(found, name, strict=True) if not np.isnan(k))
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(5, 60))) for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "FREQUENT_GRAMS", 64)  # the join of other grams is used too
+    one, seven = ({r["doc_id"]: r["score"] for r in lm.scored(docs.repartition(k)).collect()} for k in (1, 7))
+    assert all(math.isclose(one[i], seven[i], rel_tol=1e-6) for i in one)
 
 
 def test_empty(none):
