@@ -3,8 +3,8 @@
 A text is its words, A-Z as a-z, with one space between them, and its end: what the base score is of. The model gives
 each bit of its UTF-8 bytes, and of a byte 0 that ends it, a probability. Predictors are counts of zeros and ones after
 contexts of one, three, four and five bytes and of the word so far (its last WORD bytes; the last three bytes where it is
-shorter). Counts are exact and grow with the training texts: a row for each distinct gram, which is a context of five
-bytes and the word so far, by hash, with the byte that followed.
+shorter). Counts are exact and grow with the training texts: a row for each distinct gram, which is the five bytes before
+a byte, those before them as far as they are of the same word, and the byte.
 
 Grams are dealt by the last three bytes before the byte, so all contexts but that of one byte (65,536 counts, sent to all
 tasks) are counted within a task. A task learns online: it takes gradient steps over STEP grams at a time, each weighted by its
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm._bytes import LOWER, SPACE, U64, mix, pieces, prefix, span_hash, texts, word_hashes, words
+from tarnsearch.llm._bytes import LOWER, SPACE, U64, mix, pieces, texts, word_hashes, words
 from tarnsearch.llm._spark import settle
 from tarnsearch.llm.langid import remainder
 
@@ -42,14 +42,15 @@ FREQUENT = 1 << 18
 FREQUENT_GRAMS = 1 << 21
 PAST = 5
 NEAR = 3
-WORD = 20
+WORD = 6  # of 7 at most: a gram has 64 bits
 STEP = 1024
 _SHAPE = (PLACES, GATES, PREDICTORS, LEVELS)
 _RATE = 0.05
-_PIECE = 1 << 20
+_PIECE = 1 << 21
 _HELD = 1 << 18
 _LEVEL = np.minimum(np.log2(np.arange(1 << LEVELS - 1) + 1).astype(np.int64), LEVELS - 1)
-_GRAMS = "near long, gram long, word long, n long, times long"
+_GRAMS = "gram long, n long, times long"
+_SLICE = 1 << 16
 
 
 def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,90 +64,82 @@ def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
-def laid_out(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(grams, words so far, where each text's begin plus a last entry): a gram is the five bytes before a byte and the byte."""
+def laid_out(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, where each text's begin plus a last entry): see the module; the last byte is the lowest."""
     raw, off = normalised(raw, off)
     n = len(off) - 1
     size = np.diff(off) + PAST + 1
     to = np.concatenate([[0], np.cumsum(size)])
-    line = np.zeros(to[-1], dtype=np.uint8)
+    wide = np.zeros(to[-1], dtype=U64)
     inside = np.ones(to[-1], dtype=bool)
     inside[(to[:-1][:, None] + np.arange(PAST)).ravel()] = False
     place = inside.copy()
     place[to[1:] - 1] = False
-    line[place] = raw
-    wide = line.astype(U64)
+    wide[place] = raw
     grams = wide.copy()
-    for k in range(1, PAST + 1):
-        grams[k:] |= wide[:-k] << U64(8 * k)
-    at = np.arange(to[-1])
-    opened = np.maximum.accumulate(np.where((line == 0) | (line == 0x20), at + 1, 0))  # where a word after this byte begins
-    at = at[inside]
-    begin = np.minimum(np.maximum(opened[at - 1], at - WORD), at - NEAR)
-    return grams[inside], span_hash(prefix(line), begin, at), to - PAST * np.arange(n + 1)
-
-
-def names(grams: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A hash of gram and word so far."""
-    return mix(grams * U64(0x9E3779B97F4A7C15) + word)
-
-
-class Seen:
-    """Distinct grams of a task with their occurrences in training texts and in all texts."""
-
-    def __init__(self):
-        self.mark = np.zeros(1 << 22, dtype=bool)
-        self.clear()
-
-    def clear(self) -> None:
-        self.name, self.gram, self.word = (np.zeros(0, U64) for _ in range(3))
-        self.n, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, grams: np.ndarray, word: np.ndarray, train: bool) -> None:
-        name = names(grams, word)
-        own, count = np.unique(name, return_counts=True)
-        at = np.searchsorted(self.name, own)
-        old = self.name[np.minimum(at, len(self.name) - 1)] == own if len(self.name) else np.zeros(len(own), bool)
-        for sums in (self.times, self.n) if train else (self.times,):
-            sums[at[old]] += count[old]
-        if (~old).any():
-            new, n = own[~old], count[~old]
-            slot = (new >> U64(42)).astype(np.int64)
-            self.mark[slot] = True
-            near = np.flatnonzero(self.mark[(name >> U64(42)).astype(np.int64)])
-            self.mark[slot] = False
-            order = near[np.argsort(name[near], kind="stable")]
-            which = order[np.searchsorted(name[order], new)]
-            into = at[~old]
-            self.name, self.gram, self.word = (np.insert(x, into, y) for x, y in ((self.name, new), (self.gram, grams[which]), (self.word, word[which])))
-            self.n, self.times = np.insert(self.n, into, n if train else 0), np.insert(self.times, into, n)
-
-    def rows(self) -> pa.RecordBatch:
-        near = self.gram >> U64(8) & U64((1 << 8 * NEAR) - 1)
-        cols = [pa.array(x.astype(np.int64)) for x in (near, self.gram, self.word, self.n, self.times)]
-        self.clear()
-        return pa.RecordBatch.from_arrays(cols, ["near", "gram", "word", "n", "times"])
-
-
-def gram_counts(rows: DataFrame, parts: int) -> DataFrame:
-    """(near, gram, word, n, times) of the rows (text, train): near are the last three bytes before the gram's last."""
+    letter = (wide != U64(0)) & (wide != U64(0x20))
+    run = letter.copy()  # the last k bytes are of one word
+    for k in range(1, WORD + 1):
+        if k <= PAST:
+            grams[k:] |= wide[:-k] << U64(8 * k)
+        elif len(wide) > k:
+            grams[k:] |= np.where(run[k - 1 : -1], wide[:-k], U64(0)) << U64(8 * k)
+        run[k:] &= letter[:-k]
+        run[:k] = False
+    return grams[inside], to - PAST * np.arange(n + 1)
+
+
+def word_so_far(past: np.ndarray) -> np.ndarray:
+    """The last bytes of a word of NEAR bytes or more, else the last NEAR bytes, marked."""
+    word, open_, size = np.zeros_like(past), np.ones(len(past), dtype=bool), np.zeros(len(past), np.int64)
+    for k in range(WORD):
+        c = past >> U64(8 * k) & U64(255)
+        open_ = open_ & (c != U64(0)) & (c != U64(0x20))
+        word |= np.where(open_, c, U64(0)) << U64(8 * k)
+        size += open_
+    return np.where(size < NEAR, past & U64((1 << 8 * NEAR) - 1) | U64(1 << 63), word)
+
+
+def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(distinct values ascending, sums of their counts)."""
+    value, *counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(value)
+    value = value[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    return (value[start], *(np.add.reduceat(c[order], start) if len(start) else c for c in counts))
+
+
+def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(distinct grams, occurrences in training texts, in all) of rows (text, train), in parts of bounded size."""
+    found, held = [], 0
+    for batch in batches:
+        for part in pieces(batch, "text", _PIECE):
+            train = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for which in (True, False):
+                chosen = part.column(0).filter(pa.array(train == which))
+                if len(chosen):
+                    own, n = np.unique(laid_out(*texts(chosen))[0], return_counts=True)
+                    found.append((own, n if which else np.zeros_like(n), n))
+                    held += len(own)
+            if held > 3 << 20:
+                found = [_merged(found)]
+                if (held := len(found[0][0])) > 2 << 20:
+                    yield found[0]
+                    found, held = [], 0
+    if found:
+        yield _merged(found)
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(gram, n, times) of the rows (text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in batches:
-            for part in pieces(batch, "text", _PIECE):
-                train = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                for which in (True, False):
-                    chosen = part.column(0).filter(pa.array(train == which))
-                    if len(chosen):
-                        seen.add(*laid_out(*texts(chosen))[:2], which)
-                if len(seen.name) > 2 << 20:
-                    yield seen.rows()
-        if len(seen.name):
-            yield seen.rows()
+        for found in occurrences(batches):
+            for a in range(0, len(found[0]), _SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + _SLICE].astype(np.int64)) for x in found], ["gram", "n", "times"])
 
-    found = rows.select("text", "train").mapInArrow(run, _GRAMS).repartition(parts, "near")
-    return found.groupBy("near", "gram", "word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    found = rows.select("text", "train").mapInArrow(run, _GRAMS)
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 def after_one(counts: DataFrame) -> np.ndarray:
@@ -157,7 +150,7 @@ def after_one(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def totals(gram: np.ndarray, word: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
+def totals(gram: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
     """By predictor, s and gram: occurrences after the context of bytes with the same bits above the last s.
 
     The grams must be all that follow their last three bytes.
@@ -167,13 +160,13 @@ def totals(gram: np.ndarray, word: np.ndarray, n: np.ndarray, one: np.ndarray) -
     before = (past & U64(255)).astype(np.int64)
     for s in range(9):
         out[0, s] = one.reshape(256, 256 >> s, 1 << s).sum(-1)[before, byte >> s]
-    for k, of in enumerate((*(past & U64((1 << 8 * m) - 1) for m in (NEAR, 4, 5)), word), 1):
-        order = np.argsort(of, kind="stable")
+    for k, of in enumerate((*(past & U64((1 << 8 * m) - 1) for m in (NEAR, 4, 5)), word_so_far(past)), 1):
+        order = np.argsort(of)
         sorted_ = of[order]
         which = np.empty(len(of), np.int64)
         which[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
         key = which << 8 | byte
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         for s in range(9):
             node = key >> s
@@ -267,17 +260,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _dealt(counts: DataFrame, parts: int) -> DataFrame:
-    return counts.repartition(parts, "near").sortWithinPartitions("near", "gram", "word").select("near", "gram", "word", "n", "times")
+    near = F.shiftright("gram", 8).bitwiseAND((1 << 8 * NEAR) - 1)
+    return counts.select(near.alias("near"), *counts.columns).repartition(parts, "near").sortWithinPartitions("near", "gram")
 
 
 def train_mixer(counts: DataFrame, parts: int, one: np.ndarray) -> Mixer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, step, seen = Mixer.start(), np.full(_SHAPE, 1e-6), 0
-        for _, gram, word, n, _ in _groups(batches):
-            sums = totals(gram.astype(U64), word.astype(U64), n, one)
+        for _, gram, n, _ in _groups(batches):
+            gram = gram.astype(U64)
+            sums = totals(gram, n, one)
             order = np.random.default_rng(len(n)).permutation(len(n))
             order = order[n[order] > 0]
-            mixer.learn(gram[order].astype(U64), n[order], sums[:, :, order], step)
+            mixer.learn(gram[order], n[order], sums[:, :, order], step)
             seen += int(n.sum())
         if seen:
             values = np.concatenate([(mixer.weights * seen).ravel(), mixer.refine.ravel(), [seen]])
@@ -304,10 +299,10 @@ def gram_costs(counts: DataFrame, parts: int, mixer: Mixer, one: np.ndarray) ->
     """(word, n, cost): name of each gram, its occurrences in all texts, and its last byte's cost in bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, gram, word, n, times in _groups(batches):
-            gram, word = gram.astype(U64), word.astype(U64)
-            cost = mixer.bits(gram, totals(gram, word, n, one)).astype(np.float32).astype(np.float64)  # sent or joined, the same
-            cols = [pa.array(names(gram, word).astype(np.int64)), pa.array(times), pa.array(cost)]
+        for _, gram, n, times in _groups(batches):
+            gram = gram.astype(U64)
+            cost = mixer.bits(gram, totals(gram, n, one)).astype(np.float32).astype(np.float64)  # sent or joined, the same
+            cols = [pa.array(mix(gram).astype(np.int64)), pa.array(times), pa.array(cost)]
             yield pa.RecordBatch.from_arrays(cols, ["word", "n", "cost"])
 
     return _dealt(counts, parts).mapInArrow(run, "word long, n long, cost double")
@@ -356,11 +351,6 @@ def _kept(name: str, make, _last: dict = {}):  # noqa: B006
     return _last[name]
 
 
-def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    own, which = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
-    return own, np.bincount(which, np.concatenate([c for _, c in found])).astype(np.int64)
-
-
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n): counts of the words' hashes, A-Z as a-z; tasks send a sum a word."""
 
@@ -419,7 +409,7 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
     n_train, distinct = sums[0] + ends, sums[1] + (ends > 0)
     known, n_known = frequent(counts, FREQUENT)
     parts = max(1, min(1 << 16, size >> 24))
-    grams = settle(gram_counts(rows.select("text", is_train(F.col("doc_id")).alias("train")), parts))
+    grams = settle(gram_counts(rows.select("text", is_train(F.col("doc_id")).alias("train"))))
     one = after_one(grams)
     costs = settle(gram_costs(grams, parts, train_mixer(grams, parts, one), one))
     gram, times, cost = frequent(costs, FREQUENT_GRAMS)
@@ -432,8 +422,8 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in pieces(batch, "text", _PIECE):
                 raw, off = texts(part.column(1))
-                grams, so_far, to = laid_out(raw, off)
-                called = names(grams, so_far)
+                grams, to = laid_out(raw, off)
+                called = mix(grams)
                 spent = lookup(called)
                 lost = np.isnan(spent)
                 bits = np.add.reduceat(np.where(lost, 0.0, spent.astype(np.float64)), to[:-1])

@@ -37,49 +37,48 @@ def test_scores(spark, edge_rows, monkeypatch):
 
 
 def _counted(rows):
-    seen = lm.Seen()
-    for text, train in rows:
-        seen.add(*lm.laid_out(*texts(pa.array([text])))[:2], train)
-    return seen
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([own for _, own in rows])], ["text", "train"])
+    return next(lm.occurrences(iter([batch])))
 
 
 def test_occurrences():
-    rows = [("the cat sat on the mat", True), ("the dog sat", False), ("the cat", True)]
-    seen = _counted(rows)
+    rows = [("the cat sat on the matter", True), ("the matting dog sat", False), ("the cat", True), ("", True), (None, False)]
+    gram, n, times = _counted(rows)
     want, train = Counter(), Counter()
     for text, own in rows:
-        line = b"\0" * lm.PAST + text.encode() + b"\0"
+        line = b"\0" * lm.PAST + (text or "").encode() + b"\0"
         for i in range(lm.PAST, len(line)):
-            gram = int.from_bytes(line[i - lm.PAST : i + 1], "big")
-            want[gram] += 1
-            train[gram] += own
-    got, got_train = Counter(), Counter()
-    for g, n, t in zip(seen.gram.tolist(), seen.n.tolist(), seen.times.tolist(), strict=True):
-        got[g] += t
-        got_train[g] += n
-    assert got == want and +got_train == +train
-    sums = lm.totals(seen.gram, seen.word, seen.n, np.zeros((256, 256)))
+            past = line[i - lm.PAST : i]
+            for k in range(lm.PAST + 1, lm.WORD + 1):  # farther bytes as far as they are of the same word
+                if len(past) < k - 1 or set(line[i - k : i]) & {0, 32}:
+                    break
+                past = line[i - k : i]
+            g = int.from_bytes(past + line[i : i + 1], "big")
+            want[g] += 1
+            train[g] += own
+    assert dict(zip(gram.tolist(), times.tolist(), strict=True)) == want
+    assert {g: c for g, c in zip(gram.tolist(), n.tolist(), strict=True) if c} == +train
+    sums = lm.totals(gram, n, np.zeros((256, 256)))
     for k, size in ((1, 3), (2, 4), (3, 5)):
-        for i, g in enumerate(seen.gram.tolist()):
+        of = lambda g: g >> 8 & (1 << 8 * size) - 1  # noqa: B023, E731
+        for i, g in enumerate(gram.tolist()):
             for s in range(9):
-                same = lambda x: x >> 8 & (1 << 8 * size) - 1 == g >> 8 & (1 << 8 * size) - 1 and (x & 255) >> s == (g & 255) >> s  # noqa: B023, E731
-                assert sums[k, s, i] == sum(n for x, n in zip(seen.gram.tolist(), seen.n.tolist(), strict=True) if same(x))
+                assert sums[k, s, i] == sum(c for x, c in train.items() if of(x) == of(g) and (x & 255) >> s == (g & 255) >> s)
 
 
 def test_probabilities_of_next_bytes_add_up():
-    seen = _counted([("the cat sat on the mat", True), ("the dog sat", True)])
-    at = 7
-    gram = np.concatenate([seen.gram, seen.gram[at] & ~np.uint64(255) | np.arange(256, dtype=np.uint64)])
-    word = np.concatenate([seen.word, np.full(256, seen.word[at])])
-    n = np.concatenate([seen.n, np.zeros(256, np.int64)])
-    one = np.bincount((seen.gram & np.uint64(0xFFFF)).astype(int), seen.n, 1 << 16).reshape(256, 256)
-    sums = lm.totals(gram, word, n, one)
-    mixer = lm.Mixer.start()
-    mixer.learn(seen.gram, seen.n, sums[:, :, : len(seen.n)], np.full(mixer.weights.shape, 1e-6))
-    bits = mixer.bits(gram, sums)[-256:]
-    assert math.isclose(float((2.0**-bits).sum()), 1.0, rel_tol=1e-5)
-    name = lm.names(gram, word)
-    found = lm.Lookup(name, n, np.arange(len(name)), bits=6)(name)  # small tables: entries push each other out
+    gram, n, _ = _counted([("the cat sat on the mat", True), ("the dog sat", True)])
+    every = np.concatenate([gram, gram[7] & ~np.uint64(255) | np.arange(256, dtype=np.uint64)])
+    every, first = np.unique(every, return_index=True)
+    of = np.where(first < len(gram), np.append(n, np.zeros(256, np.int64))[first], 0)
+    one = np.bincount((gram & np.uint64(0xFFFF)).astype(int), n, 1 << 16).reshape(256, 256)
+    sums = lm.totals(every, of, one)
+    mixer, known = lm.Mixer.start(), of > 0
+    mixer.learn(every[known], of[known], sums[:, :, known], np.full(mixer.weights.shape, 1e-6))
+    bits = mixer.bits(every, sums)[every >> np.uint64(8) == gram[7] >> np.uint64(8)]
+    assert len(bits) == 256 and math.isclose(float((2.0**-bits).sum()), 1.0, rel_tol=1e-5)
+    name = lm.mix(every)
+    found = lm.Lookup(name, of, np.arange(len(name)), bits=6)(name)  # small tables: entries push each other out
     assert np.isnan(found).any() and all(name[int(k)] == x for k, x in zip(found, name, strict=True) if not np.isnan(k))
 
 
