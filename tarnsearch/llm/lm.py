@@ -46,8 +46,8 @@ WORD = 6  # of 7 at most: a gram has 64 bits
 STEP = 1024
 _SHAPE = (PLACES, GATES, PREDICTORS, LEVELS)
 _RATE = 0.05
-_PIECE = 1 << 21
-_HELD = 1 << 18
+_PIECE = 1 << 20
+_HELD = 1 << 17
 _LEVEL = np.minimum(np.log2(np.arange(1 << LEVELS - 1) + 1).astype(np.int64), LEVELS - 1)
 _GRAMS = "gram long, n long, times long"
 _SLICE = 1 << 16
@@ -121,9 +121,9 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
                     own, n = np.unique(laid_out(*texts(chosen))[0], return_counts=True)
                     found.append((own, n if which else np.zeros_like(n), n))
                     held += len(own)
-            if held > 3 << 20:
+            if held > 2 << 20:
                 found = [_merged(found)]
-                if (held := len(found[0][0])) > 2 << 20:
+                if (held := len(found[0][0])) > 3 << 19:
                     yield found[0]
                     found, held = [], 0
     if found:
@@ -134,6 +134,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """(gram, n, times) of the rows (text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         for found in occurrences(batches):
             for a in range(0, len(found[0]), _SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + _SLICE].astype(np.int64)) for x in found], ["gram", "n", "times"])
@@ -311,7 +312,7 @@ def gram_costs(counts: DataFrame, parts: int, mixer: Mixer, one: np.ndarray) ->
 class Lookup:
     """Costs by name in two tables of fixed size; what finds no slot in either isn't in it, and is joined."""
 
-    def __init__(self, name: np.ndarray, n: np.ndarray, cost: np.ndarray, bits: int = 23):
+    def __init__(self, name: np.ndarray, n: np.ndarray, cost: np.ndarray, bits: int = 22):
         order = np.argsort(n, kind="stable")  # the most frequent are written last and stay
         name, cost = name[order], cost[order]
         self.tables = []
@@ -343,7 +344,10 @@ class Lookup:
         return out
 
 
-def _kept(name: str, make, _last: dict = {}):  # noqa: B006
+_last: dict = {}
+
+
+def _kept(name: str, make):
     """What a worker made last under a name."""
     if name not in _last:
         _last.clear()
@@ -351,11 +355,16 @@ def _kept(name: str, make, _last: dict = {}):  # noqa: B006
     return _last[name]
 
 
+def _forget() -> None:
+    _last.clear()
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n): counts of the words' hashes, A-Z as a-z; tasks send a sum a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
+        _forget()
 
         def out(found: list) -> pa.RecordBatch:
             own, n = _merged(found)
