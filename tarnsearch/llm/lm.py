@@ -13,8 +13,8 @@ which contexts are known, and the place of the bit in its byte. A table refines
 such predictions. Tasks' weights are averaged by occurrences. The deal, the order of grams and so the scores depend on the
 rows only, not on how they are partitioned.
 
-Each distinct gram's cost is computed once. Those of the FREQUENT_GRAMS most frequent are sent to all tasks; the other grams'
-occurrences are joined with their costs. So are counts of words, of which FREQUENT are sent, for the base score.
+Each distinct gram's cost is computed once. Those of grams with SHARE of all occurrences or more are sent to all tasks, of
+FREQUENT_GRAMS at most; the other grams' occurrences, about the same share at any size, are joined with their costs. So are counts of words, of which FREQUENT are sent, for the base score.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ GATES = 16
 BUCKETS = 33
 FREQUENT = 1 << 18
 FREQUENT_GRAMS = 1 << 21
+SHARE = 2.0**-24
 PAST = 5
 NEAR = 3
 WORD = 6  # of 7 at most: a gram has 64 bits
@@ -421,7 +422,8 @@ def scored(docs: DataFrame, is_train=None, id_col: str = "doc_id", text_col: str
     grams = settle(gram_counts(rows.select("text", is_train(F.col("doc_id")).alias("train"))))
     one = after_one(grams)
     costs = settle(gram_costs(grams, parts, train_mixer(grams, parts, one), one))
-    gram, times, cost = frequent(costs, FREQUENT_GRAMS)
+    all_grams = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gram, times, cost = frequent(costs.where(F.col("n") >= F.lit(all_grams * SHARE)), FREQUENT_GRAMS)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, gram, times.astype(np.float32), cost.astype(np.float32), known, n_known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
