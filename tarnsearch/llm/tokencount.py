@@ -1,11 +1,12 @@
 """Unigram token counts with dynamic programming over a trie of distinct pre-tokens.
 
 A pre-token is a word with the mark U+2581 in front. Its best segmentation into a vocabulary's pieces is the one of the
-highest sum of log probabilities, of equals the one of fewer tokens. Distinct pre-tokens are inserted in a trie and the
-forward score of a prefix is computed once for all pre-tokens that share it; the count at a pre-token's last node is
-stored. A character that no piece covers costs one token for each of its UTF-8 bytes, at a score below all pieces.
+highest sum of log probabilities, of equals the one of fewer tokens. A task inserts the distinct pre-tokens of its texts
+in a trie; the forward score of a prefix is computed once for all pre-tokens that share it, and the node of a pre-token's
+end keeps its count. A character that no piece covers costs one token for each of its UTF-8 bytes, at a score below all pieces.
 
-A vocabulary file gives ranks, not probabilities; the probabilities here follow Zipf's law of ranks. Nothing is trained.
+Any unigram model's pieces and log probabilities can be given. The vocabulary file read here is of another kind, with
+ranks and no probabilities; those follow Zipf's law of ranks. Nothing is trained.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from tarnsearch.llm._bytes import prefix, span_hash, texts, words
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BYTE_PENALTY = 2.0
-KEPT = 400_000
+DEEP = 64
+NODES = 1_000_000
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
@@ -37,7 +39,11 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores of sorted pre-tokens; the path to the last one is kept, so shared prefixes are scored once."""
+    """A trie of pre-tokens whose nodes hold the forward score and the count of their prefix.
+
+    A prefix of up to DEEP characters is scored once for all pre-tokens that share it, in whatever order they come; what
+    a longer pre-token has beyond that is scored for itself, in memory that doesn't grow with it.
+    """
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
@@ -46,43 +52,64 @@ class Trie:
         for piece in scores:
             lengths.setdefault(piece[-1], set()).add(len(piece))
         self.lengths = {c: sorted(x) for c, x in lengths.items()}
+        self.longest = max(map(len, scores), default=1)
         self.scored = 0
-
-    def count(self, tokens: list[str]) -> list[tuple[int, float]]:
-        """(tokens, log probability) of each of the sorted, distinct pre-tokens."""
-        out, path, best, number = [], "", [0.0], [0]
-        scores, lengths, floor = self.scores, self.lengths, self.floor
-        for token in tokens:
-            shared, limit = 0, min(len(path), len(token))
-            while shared < limit and path[shared] == token[shared]:
-                shared += 1
-            del best[shared + 1 :], number[shared + 1 :]
-            for j in range(shared + 1, len(token) + 1):
-                c = token[j - 1]
-                n_bytes = len(c.encode("utf-8", "replace"))
-                top, few = best[j - 1] + floor * n_bytes, number[j - 1] + n_bytes
-                for size in lengths.get(c, ()):
-                    if size > j:
-                        break
-                    s = scores.get(token[j - size : j])
-                    if s is not None:
-                        s += best[j - size]
-                        if s > top or s == top and number[j - size] + 1 < few:
-                            top, few = s, number[j - size] + 1
-                best.append(top)
-                number.append(few)
-                self.scored += 1
-            path = token
-            out.append((number[-1], best[-1]))
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        """Back to the root: node 0, the empty prefix."""
+        self.child: dict[int, int] = {}
+        self.best, self.number = [0.0], [0]
+
+    def step(self, token: str, j: int, best: list[float], number: list[int]) -> None:
+        """Append the score and the count of the first ``j`` characters to those of shorter prefixes, the last at the end."""
+        c = token[j - 1]
+        n_bytes = len(c.encode("utf-8", "replace"))
+        top, few = best[-1] + self.floor * n_bytes, number[-1] + n_bytes
+        for size in self.lengths.get(c, ()):
+            if size > j:
+                break
+            s = self.scores.get(token[j - size : j])
+            if s is not None:
+                s += best[-size]
+                if s > top or s == top and number[-size] + 1 < few:
+                    top, few = s, number[-size] + 1
+        best.append(top)
+        number.append(few)
+        self.scored += 1
+
+    def insert(self, token: str) -> int:
+        """The node of a pre-token's end; ``number`` and ``best`` have its count and log probability there."""
+        node, best, number = 0, [0.0], [0]
+        for j, c in enumerate(token[:DEEP], 1):
+            edge = node << 21 | ord(c)
+            node = self.child.get(edge, 0)
+            if node:
+                best.append(self.best[node])
+                number.append(self.number[node])
+            else:
+                self.step(token, j, best, number)
+                node = self.child[edge] = self._node(best[-1], number[-1])
+        if len(token) <= DEEP:
+            return node
+        for j in range(DEEP + 1, len(token) + 1):
+            self.step(token, j, best, number)
+            if len(best) > 4 * self.longest + DEEP:
+                del best[: -self.longest], number[: -self.longest]
+        return self._node(best[-1], number[-1])
+
+    def _node(self, best: float, number: int) -> int:
+        self.best.append(best)
+        self.number.append(number)
+        return len(self.best) - 1
 
 
 class Counter:
-    """Counts of batches of words, keeping those of up to KEPT distinct words by hash."""
+    """Counts of batches of words. The trie of a task's distinct words grows to about NODES nodes, then begins anew."""
 
     def __init__(self, scores: dict[str, float]):
         self.trie = Trie(scores)
-        self.kept: dict[int, tuple[int, float]] = {}
+        self.ends: dict[int, int] = {}  # a word's hash and its node
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words, tokens, log probability) of each text."""
@@ -90,24 +117,27 @@ class Counter:
         if not len(start):
             zero = np.zeros(len(off) - 1, np.int64)
             return zero, zero, zero.astype(float)
-        h = span_hash(prefix(raw), start, end)
-        own, at, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        keys = own.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.kept]
-        data = raw.tobytes()
-        spelled = sorted((MARK + data[start[at[i]] : end[at[i]]].decode("utf-8", "replace"), i) for i in new)
-        for (_, i), got in zip(spelled, self.trie.count([t for t, _ in spelled]), strict=True):
-            self.kept[keys[i]] = got
-        found = [self.kept[k] for k in keys]
-        n, s = np.array([x[0] for x in found], np.int64)[which], np.array([x[1] for x in found])[which]
+        own, at, which = np.unique(span_hash(prefix(raw), start, end), return_index=True, return_inverse=True)
+        trie, ends, data = self.trie, self.ends, raw.tobytes()
+        if len(trie.best) > NODES:
+            trie.clear()
+            ends.clear()
+        nodes = []
+        for k, a, b in zip(own.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+            node = ends.get(k)
+            if node is None:
+                node = ends[k] = trie.insert(MARK + data[a:b].decode("utf-8", "replace"))
+            nodes.append(node)
+        n, s = np.array([trie.number[x] for x in nodes], np.int64)[which], np.array([trie.best[x] for x in nodes])[which]
         sums, logs = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(s)])
         return np.diff(first), sums[first[1:]] - sums[first[:-1]], logs[first[1:]] - logs[first[:-1]]
 
 
 def count_tokens(docs: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens, log_prob) for each row's whole text; null and empty texts have none of either."""
+    """(doc_id, n_words, n_tokens, log_prob) for each row's whole text, repeated rows and null ids too.
+
+    Null, empty and blank texts have 0 of each; an empty table gives one. Columns other than these two don't matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(scores)
