@@ -218,7 +218,8 @@ def as_json(results: DataFrame) -> DataFrame:
 
 
 def show(results: DataFrame) -> None:
-    results.withColumn("chunk_text", F.transform("chunk_text", snippet)).show(truncate=200)
+    """Print results, numbered from 1 on."""
+    rank.numbered(results).orderBy("number").withColumn("chunk_text", F.transform("chunk_text", snippet)).show(truncate=200)
 
 
 def simple_search(spark: SparkSession, sources: str | list[str], query: str, k: int = 3, mode: SearchMode | str = SearchMode.HYBRID) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnsearch.functions.text import TokenOptions, chunks, tokens
 
-BLOCK = 4096
+BLOCK_BITS = (12, 24, 24)
 
 
 @dataclass(frozen=True)
@@ -47,16 +47,20 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
-def running_total(counts: DataFrame, by: str, of: str, name: str) -> DataFrame:
-    """Adds the sum of ``of`` over rows of lesser ``by``: within blocks of ids, then over a row for each block."""
-    block = F.floor(F.col(by) / BLOCK)
-    inside = Window.partitionBy("block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("block", block)
-    sums = rows.groupBy("block").agg(F.sum(of).alias("s"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("block"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
-    rows = rows.withColumn("own", F.coalesce(F.sum(of).over(inside), F.lit(0)))
-    return rows.join(sums, "block").withColumn(name, (F.col("base") + F.col("own")).cast("long")).drop("block", "base", "own")
+def running_total(counts: DataFrame, by: str, of: str, name: str, bits: tuple[int, ...] = BLOCK_BITS) -> DataFrame:
+    """Adds the sum of ``of`` over rows of lesser ``by``, which are distinct 64-bit integers, sparse or dense.
+
+    Ids share a block where they differ only in the first of ``bits`` low bits, blocks share one where they differ in the
+    next, and so on: a task never holds more rows of a level than its bits allow, whatever the ids are.
+    """
+    level, total, base = f"block_{len(bits)}", f"sum_{len(bits)}", f"base_{len(bits)}"
+    inside = (Window.partitionBy(level) if bits else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(of).over(inside), F.lit(0))
+    if not bits:
+        return counts.withColumn(name, own.cast("long"))
+    rows = counts.withColumn(level, F.shiftright(F.col(by).cast("long"), bits[0]))
+    sums = running_total(rows.groupBy(level).agg(F.sum(of).alias(total)), level, total, base, bits[1:]).select(level, base)
+    return rows.withColumn(name, own).join(sums, level).withColumn(name, (F.col(name) + F.col(base)).cast("long")).drop(level, base)
 
 
 def chunk_table(docs: DataFrame, first_id: int = 0) -> DataFrame:

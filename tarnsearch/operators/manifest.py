@@ -78,6 +78,11 @@ def sources(manifest: DataFrame, chunks: DataFrame, present: DataFrame | None =
     return rows.orderBy("path")
 
 
+def paths_of(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, path) of the documents named that the manifest has."""
+    return manifest.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "path")
+
+
 def chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
 

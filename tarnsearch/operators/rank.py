@@ -112,6 +112,12 @@ def semantic(index: Index, vectors: DataFrame, query: list[float], k: int = 3) -
     return rows.orderBy(F.desc("combined_score"), F.col("chunk_id")[0])
 
 
+def numbered(results: DataFrame, order: str = "combined_score") -> DataFrame:
+    """Results, k rows at most, with their number from 1 on, the best first."""
+    place = F.row_number().over(Window.orderBy(F.desc(order), "doc_id", "chunk_id"))
+    return results.select(place.cast("long").alias("number"), *results.columns)
+
+
 def check_weights(keyword_weight: float, semantic_weight: float) -> None:
     if not (0 <= keyword_weight <= 1 and 0 <= semantic_weight <= 1):
         raise ValueError("weights must be between 0 and 1")

@@ -71,6 +71,41 @@ def search_blocks(vectors: DataFrame, queries: list[list[float]], k: int, id_col
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
+def search_table(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", rows: int = 1 << 16, asked: int = 1 << 12) -> DataFrame:
+    """(query_id, id, doc_id, similarity): of each query vector (query_id, embedding) the k best of all vectors.
+
+    Vectors lie in blocks of about ``rows``, queries in blocks of about ``asked``, by hashes of their ids. Each pair of
+    blocks is one matrix product in a task, which sends its k best a query; a window joins them. Nothing goes to the
+    driver but two counts. Ids of each side are distinct, vectors of unit length; ties go to the lesser id.
+    """
+    from pyspark.sql import Window
+
+    schema = f"query_id long, {id_col} long, doc_id long, similarity double"
+    n, m = (max(1, -(-x.count() // size)) for x, size in ((vectors, rows), (queries, asked)))
+    block = lambda c, size: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = vectors.select(block(id_col, n).alias("g"), every(m).alias("h"), F.col(id_col).cast("long"), F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>"))
+    right = queries.select(every(n).alias("g"), block("query_id", m).alias("h"), F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
+
+    def run(part: pa.Table, wanted: pa.Table) -> pa.Table:
+        names = ["query_id", id_col, "doc_id", "similarity"]
+        if not part.num_rows or not wanted.num_rows or k < 1:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
+        a, b = (np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (part, wanted))
+        ids, docs = (np.asarray(part.column(c), np.int64) for c in (id_col, "doc_id"))
+        found = []
+        for at in range(0, len(b), 64):
+            scores = np.round(b[at : at + 64] @ a.T, PLACES)
+            found += [(np.lexsort((ids, -s))[:k], s) for s in scores]
+        best = np.concatenate([x for x, _ in found])
+        asker = np.repeat(np.asarray(wanted.column("query_id"), np.int64), [len(x) for x, _ in found])
+        return pa.table([pa.array(asker), pa.array(ids[best]), pa.array(docs[best]), pa.array(np.concatenate([s[x] for x, s in found]))], names)
+
+    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def unit_list(v: list[float]) -> list[float]:
     n = float(np.sqrt(np.square(np.asarray(v, dtype=np.float64)).sum()))
     return [float(x) / n for x in v] if n else [float(x) for x in v]

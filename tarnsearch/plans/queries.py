@@ -210,11 +210,8 @@ def keyword_search_dup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_sql_hits(_WORDS)}, cut AS (SELECT * FROM kw ORDER BY score DESC, doc_id LIMIT 5) SELECT doc_id, source AS file_name, round(bm25_score, 6) AS bm25_score, row_number() OVER (ORDER BY bm25_score DESC, doc_id)::BIGINT AS place FROM cut JOIN documents USING (doc_id)")
 def keyword_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = rank.keyword(_index(spark, sf_dir), _WORDS, 5)
-    place = F.row_number().over(Window.orderBy(F.desc("bm25_score"), "doc_id")).cast("long")
-    return rows.select("doc_id", "file_name", F.round("bm25_score", 6).alias("bm25_score"), place.alias("place"))
+    rows = rank.numbered(rank.keyword(_index(spark, sf_dir), _WORDS, 5))
+    return rows.select("doc_id", "file_name", F.round("bm25_score", 6).alias("bm25_score"), F.col("number").alias("place"))
 
 
 @query(f"WITH {_sql_hits(_WORDS)}, best AS (SELECT doc_id FROM kw ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, tok, tf::BIGINT AS tf, array_to_string(positions, ',') AS positions FROM hit JOIN best USING (doc_id)")
@@ -251,11 +248,12 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(rows, _first_vector(spark, sf_dir), 10).select("chunk_id", "doc_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {_UNIT}, q AS (SELECT chunk_id AS query_no, v AS q FROM e WHERE chunk_id < 3), s AS (SELECT query_no, chunk_id, doc_id, round(list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])), 9) AS similarity FROM e CROSS JOIN q), r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY similarity DESC, chunk_id) AS place FROM s) SELECT query_no, chunk_id, doc_id, round(similarity, 6) AS similarity FROM r WHERE place <= 10")
+@query(f"WITH {_UNIT}, q AS (SELECT chunk_id AS query_id, v AS q FROM e WHERE chunk_id % 20 = 0), s AS (SELECT query_id, chunk_id, doc_id, round(list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])), 9) AS similarity FROM e CROSS JOIN q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS place FROM s) SELECT query_id, chunk_id, doc_id, round(similarity, 6) AS similarity FROM r WHERE place <= 10")
 def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are all rows whose id is divisible by 20."""
     rows = vectors.prepared(_embeddings(spark, sf_dir), 64)
-    wanted = [list(map(float, r[0])) for r in _embeddings(spark, sf_dir).where("chunk_id < 3").orderBy("chunk_id").select("embedding").collect()]
-    return vectors.search_blocks(rows, wanted, 10).withColumn("similarity", F.round("similarity", 6))
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return vectors.search_table(rows, asked, 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, chunk_id) AS place FROM s WHERE similarity >= 0) SELECT doc_id, round(avg(similarity), 6) AS near, count(*)::BIGINT AS n FROM r WHERE place <= 3 GROUP BY doc_id")
@@ -538,3 +536,58 @@ def source_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PATHS} SELECT doc_id, CASE WHEN lower(path) LIKE '%.txt' THEN 'txt' WHEN lower(path) LIKE '%.md' THEN 'markdown' WHEN lower(path) LIKE '%.pdf' THEN 'pdf' WHEN lower(path) LIKE '%.docx' THEN 'docx' WHEN lower(path) LIKE '%.html' THEN 'html' WHEN path LIKE 'http%://%' THEN 'web' END AS handler FROM p")
 def handler_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", files.handler(F.col("path")).alias("handler"))
+
+
+@query("SELECT DISTINCT 'text_input/' || sha256(text) || '.txt' AS path, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size FROM documents WHERE trim(text) <> ''")
+def text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.from_texts(_docs(spark, sf_dir)).select("path", "sha256", "size")
+
+
+_SCOPED = _DIFF.replace("FROM documents WHERE doc_id % 7 <> 0)", "FROM documents WHERE doc_id % 7 <> 0 AND starts_with(source, 'src1'))")
+
+
+@query(f"WITH {_SCOPED} SELECT path, action FROM x")
+def manifest_diff_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sources are those under a folder."""
+    old, new = _before_and_after(spark, sf_dir)
+    return mf.diff(new, old, "new", scope="/data/src1").select("path", "action")
+
+
+@query("SELECT coalesce(max(doc_id) + 1, 0)::BIGINT AS next_id FROM documents WHERE doc_id % 7 <> 0")
+def manifest_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, _ = _before_and_after(spark, sf_dir)
+    return spark.createDataFrame([(mf.next_id(old),)], "next_id long")
+
+
+@query(f"WITH {_DIFF} SELECT doc_id, h AS sha256, CASE WHEN doc_id % 4 = 0 THEN 'stored' ELSE model END AS model FROM o WHERE doc_id % 9 <> 0")
+def manifest_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, _ = _before_and_after(spark, sf_dir)
+    read = old.withColumns({"sha256": F.when(F.col("doc_id") % 9 != 0, F.col("sha256")), "model": F.when(F.col("doc_id") % 4 != 0, F.col("model"))})
+    return mf.loaded(read, "stored").select("doc_id", "sha256", "model")
+
+
+@query(f"WITH {_CHUNKS}, {_DIFF}, c AS (SELECT doc_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS chunk_ids FROM chunk GROUP BY doc_id) SELECT o.doc_id, path, coalesce(chunk_ids, '') AS chunk_ids FROM o LEFT JOIN c ON o.doc_id = c.doc_id")
+def manifest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, _ = _before_and_after(spark, sf_dir)
+    rows = mf.stored(old, ix.chunk_table(_docs(spark, sf_dir)))
+    return rows.select("doc_id", "path", F.coalesce(_joined("chunk_ids"), F.lit("")).alias("chunk_ids"))
+
+
+@query(f"WITH {_DIFF} SELECT doc_id, path FROM o WHERE doc_id IN (SELECT doc_id FROM labels)")
+def manifest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, _ = _before_and_after(spark, sf_dir)
+    return mf.paths_of(old, _table(spark, sf_dir, "labels"))
+
+
+@query("SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def has_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.has_docs(_index(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id").distinct())
+
+
+@query(f"WITH e AS (SELECT label, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS index_name, {_sql_norm('embedding')} AS norm FROM embeddings) SELECT index_name, count(*)::BIGINT AS n, round(sum(CASE WHEN norm > 0 THEN 1 ELSE 0 END), 6)::DOUBLE AS norms FROM e GROUP BY index_name")
+def vector_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named indexes of one table."""
+    rows = _embeddings(spark, sf_dir)
+    even, odd = (vectors.prepared(rows.where(F.col("doc_id") % 2 == k), 64, name) for k, name in enumerate(("even", "odd")))
+    both = even.unionByName(odd).select("index_name", vf.norm(F.col("embedding")).alias("norm"))
+    return both.groupBy("index_name").agg(F.count("*").alias("n"), F.round(F.sum("norm"), 6).alias("norms"))

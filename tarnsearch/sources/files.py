@@ -19,12 +19,13 @@ from tarnsearch.functions.web import html_text
 #: (name, pattern of lower-case paths) in the order in which they are tried.
 HANDLERS = (("txt", r"\.txt$"), ("markdown", r"\.md$"), ("pdf", r"\.pdf$"), ("docx", r"\.docx$"), ("html", r"\.html?$"), ("web", r"^https?://"))
 SUPPORTED = tuple(name for name, _ in HANDLERS)
+ADDED: dict[str, str] = {}
 
 
 def handler(path: Column) -> Column:
     """The first handler that takes a path, or null."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(HANDLERS):
+    for name, pattern in reversed((*HANDLERS, *ADDED.items())):
         out = F.when(F.lower(path).rlike(pattern), name).otherwise(out)
     return out
 
@@ -57,8 +58,11 @@ def pdf_text(content: bytes) -> str:
 PARSERS: dict[str, Callable[[bytes], str]] = {"pdf": pdf_text, "docx": docx_text}
 
 
-def register(name: str, parse: Callable[[bytes], str]) -> None:
+def register(name: str, parse: Callable[[bytes], str], pattern: str | None = None) -> None:
+    """A parser for a kind of file. ``pattern`` matches lower-case paths of a new kind, which come after those above."""
     PARSERS[name] = parse
+    if pattern is not None:
+        ADDED[name] = pattern
 
 
 def _parsed(content: Column, kind: Column) -> Column:

@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,35 @@ def test_vector_tables(spark):
     assert vectors.without(store, doc_ids=spark.createDataFrame([(1,)], "doc_id long")).count() == 1
     with pytest.raises(Exception, match="expected dimension"):
         vectors.prepared(rows, 3).collect()
+
+
+def test_table_of_queries_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(90, 6))
+    table[7] = table[3]  # a tie
+    rows = spark.createDataFrame([(i, i % 4, [float(x) for x in v]) for i, v in enumerate(table)], "chunk_id long, doc_id long, embedding array<double>")
+    store = vectors.prepared(rows, 6)
+    asked = store.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    unit = table / np.linalg.norm(table, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, vectors.PLACES)
+    want = {(q, int(i)) for q in range(0, 90, 3) for i in np.lexsort((np.arange(90), -scores[q]))[:4]}
+    for sizes in ((1 << 16, 1 << 12), (20, 7)):
+        assert {(r["query_id"], r["chunk_id"]) for r in vectors.search_table(store, asked, 4, rows=sizes[0], asked=sizes[1]).collect()} == want
+    assert vectors.search_table(store.limit(0), asked, 4).count() == vectors.search_table(store, asked.limit(0), 4).count() == vectors.search_table(store, asked, 0).count() == 0
+
+
+def test_running_total_of_sparse_ids(spark):
+    rng = random.Random(9)
+    ids = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)} | {-(1 << 63), -1, 0, 1, 4095, 4096, (1 << 63) - 1} | set(range(5000, 5100)))
+    counts = {i: rng.randrange(5) for i in ids}
+    rows = spark.createDataFrame(list(counts.items()), "id long, n int")
+    got = {r["id"]: r["start"] for r in ix.running_total(rows, "id", "n", "start").collect()}
+    total = 0
+    for i in ids:
+        assert got[i] == total
+        total += counts[i]
+
+
+def test_results_are_numbered(spark):
+    rows = spark.createDataFrame([(5, [2], 0.1), (4, [1], 0.7), (3, [0], 0.7)], "doc_id long, chunk_id array<long>, combined_score double")
+    assert [(r["number"], r["doc_id"]) for r in rank.numbered(rows).orderBy("number").collect()] == [(1, 3), (2, 4), (3, 5)]

@@ -85,3 +85,12 @@ def test_only_accepted_links_count(spark):
 def test_character_references(spark):
     html = "it&#8217;s caf&eacute; &copy; &#x1F600; &nosuch; &amp;lt; a & b &#xD800;"
     assert spark.createDataFrame([(html,)], "h string").select(web.html_text(F.col("h")).alias("t")).first()["t"] == "it’s café © \U0001f600 &nosuch; &lt; a & b &#xD800;"
+
+
+def test_a_registered_kind_is_dispatched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ADDED", {})
+    monkeypatch.setattr(files, "PARSERS", dict(files.PARSERS))
+    files.register("upper", lambda content: content.decode().upper(), r"\.up$")
+    (tmp_path / "a.UP").write_text("some words")
+    (tmp_path / "b.other").write_text("left out")
+    assert [(r["path"].rsplit("/", 1)[1], r["text"]) for r in files.read(spark, str(tmp_path)).collect()] == [("a.UP", "SOME WORDS")]
