@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,17 +26,30 @@ _TABLES = {
     "vectors": "index_name string, chunk_id long, doc_id long, embedding array<double>",
     "manifest": mf.SCHEMA,
 }
+KEPT = 2  # versions before the one in force
+
+
+def temporary(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, one of this machine on a local master, else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("without a path a store needs spark.checkpoint.dir, a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tarnsearch-store-")
 
 
 class Engine:
     """A store in a folder that all executors reach; without one it is temporary.
 
-    A change writes new tables beside the old and then moves a pointer, so no path that is read is overwritten.
+    A change writes new tables beside the old and then creates an empty file, current-<number>-<name>; the greatest
+    number is the version in force, so no path that is read is overwritten and a crash leaves the last version whole. The
+    KEPT versions before it stay, for results that still refer to them. One process changes a store at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, provider: Provider = HASHED, keyword_weight: float = 0.5, semantic_weight: float = 0.5):
         self.spark, self.provider = spark, provider
-        self.path = (path or "file://" + tempfile.mkdtemp(prefix="tarnsearch-store-")).rstrip("/")
+        self.path = (path or temporary(spark)).rstrip("/")
         self.set_weights(keyword_weight, semantic_weight)
         self.version = self._pointer()
 
@@ -48,12 +60,20 @@ class Engine:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str | None:
+    def _numbers(self, prefix: str) -> dict[int, list[str]]:
+        """Names in the folder that begin with a prefix, by the number after it."""
         jvm, fs = self._hadoop()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        if not fs.exists(at):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))["version"]
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        found: dict[int, list[str]] = {}
+        for x in fs.listStatus(at) if fs.exists(at) else ():
+            name = x.getPath().getName()
+            if name.startswith(prefix):
+                found.setdefault(int(name.split("-")[1]), []).append(name)
+        return found
+
+    def _pointer(self) -> str | None:
+        found = self._numbers("current-")
+        return "v-" + min(found[max(found)])[len("current-") :] if found else None
 
     def _table(self, name: str) -> DataFrame:
         if self.version is None:
@@ -73,22 +93,24 @@ class Engine:
         return self._table("vectors")
 
     def _commit(self, index: ix.Index, vector_rows: DataFrame, manifest: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        at, old = f"{self.path}/{version}", self.version
+        n = max(self._numbers("current-"), default=0) + 1
+        if n != (int(self.version.split("-")[1]) if self.version else 0) + 1:
+            raise RuntimeError("another process has changed the store; open it again")
+        name = f"{n:012d}-{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/v-{name}"
         ix.save(index, at)
         vectors.save(vector_rows, f"{at}/vectors")
         manifest.write.mode("overwrite").parquet(f"{at}/manifest")
         jvm, fs = self._hadoop()
         path = jvm.org.apache.hadoop.fs.Path
-        temporary, final = path(f"{self.path}/current.{version}"), path(f"{self.path}/current.json")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        fs.delete(final, False)
-        fs.rename(temporary, final)
-        self.version = version
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
+        fs.createNewFile(path(f"{self.path}/current-{name}"))
+        if self._pointer() != f"v-{name}":
+            raise RuntimeError("another process has changed the store; open it again")
+        self.version = f"v-{name}"
+        for prefix in ("current-", "v-"):
+            for k, names in self._numbers(prefix).items():
+                for old in names if k < n - KEPT else ():
+                    fs.delete(path(f"{self.path}/{old}"), True)
 
     # Sources
 

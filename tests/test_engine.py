@@ -48,3 +48,21 @@ def test_streaming_ingestion(spark, tmp_path):
     (folder / "b.md").write_text("more words")
     ingest.start(engine, str(folder), str(tmp_path / "check"), once=True).awaitTermination()
     assert {r["name"] for r in engine.sources().collect()} == {"a.txt", "b.md"}
+
+
+def test_versions_stay_for_a_while_and_crashes_leave_the_last(spark, tmp_path):
+    store = tmp_path / "store"
+    engine = Engine(spark, str(store))
+    engine.add_text("red fox")
+    before, first = engine.search("fox", 1, "keyword"), engine.version
+    engine.add_text("blue whale")
+    assert before.first()["doc_id"] is not None
+    (store / "v-000000000003-crashed").mkdir()
+    assert Engine(spark, str(store)).version == engine.version
+    other = Engine(spark, str(store))
+    other.add_text("green tea")
+    with pytest.raises(RuntimeError, match="another process"):
+        engine.add_text("black coffee")
+    other.add_text("white milk")
+    assert not (store / first).exists()
+    assert Engine(spark, str(store)).sources().count() == 4
