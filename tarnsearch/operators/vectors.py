@@ -32,12 +32,13 @@ def load(spark: SparkSession, path: str, index_name: str, dimension: int) -> Dat
 def search(vectors: DataFrame, query: list[float], k: int, id_col: str = "chunk_id") -> DataFrame:
     """(id, doc_id, similarity) of the k nearest, best first. An empty query vector or k < 1 finds nothing.
 
-    The query is a literal, so the plan is a scan, a projection and a top-k; negative scores are kept.
+    The query is a literal, so the plan is a scan, a projection and a top-k; negative scores are kept. Vectors of another
+    dimension than the query's are an error.
     """
     if not query or k < 1:
         return vectors.select(id_col, "doc_id", F.lit(0.0).alias("similarity")).limit(0)
     q = unit_list(query)
-    scored = vectors.select(id_col, "doc_id", F.round(dot(F.col("embedding"), literal(q)), PLACES).alias("similarity"))
+    scored = vectors.select(id_col, "doc_id", F.round(dot(checked(F.col("embedding"), len(q)), literal(q)), PLACES).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 

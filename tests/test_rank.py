@@ -135,6 +135,8 @@ def test_vector_tables(spark):
     assert vectors.without(store, doc_ids=spark.createDataFrame([(1,)], "doc_id long")).count() == 1
     with pytest.raises(Exception, match="expected dimension"):
         vectors.prepared(rows, 3).collect()
+    with pytest.raises(Exception, match="expected dimension"):
+        vectors.search(store, [1.0, 0.0, 0.0], 3).collect()
 
 
 def test_table_of_queries_in_blocks(spark):
