@@ -20,6 +20,7 @@ total weight by the greater, and sums over BINS bins of shingles of the lesser w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -300,8 +301,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     for k in range(HUB_ROUNDS + 1):
         at = members.join(joined, F.col("key") == F.col("node")).select("band", "key", "weight", "central", "component")
         pairs = hub_pairs(at, k, least) if k < HUB_ROUNDS else other_pairs(at, nodes.select(F.col("key").alias("key_"), "bins"), least)
-        for x in tested:
-            pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionAll, tested).select("a", "b"), ["a", "b"], "left_anti")
         tested.append(settle(verify(pairs, found, shared, n_docs, least)))
         links = tested[-1].where("linked").select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
         merged = components(links).select(F.col("node").alias("of"), F.col("component").alias("now"))

@@ -84,6 +84,38 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got.collect()} == want
 
 
+def test_few_edges_take_one_write(spark, monkeypatch):
+    from tarnsearch.llm import components as module
+
+    rng, writes, real = random.Random(8), [], module.settle
+    monkeypatch.setattr(module, "settle", lambda x: writes.append(1) or real(x))
+    names = [f"n{k:03}" for k in range(300)]
+    edges = [(names[k], names[k + 1]) for k in range(60)] + [(rng.choice(names[100:]), rng.choice(names[100:])) for _ in range(150)]
+    docs = spark.createDataFrame(edges + [("x", "x")], "a string, b string")
+    got = sorted(map(tuple, components(docs).collect()))
+    assert len(writes) == 1
+    monkeypatch.setattr(module, "SHORT", -1)
+    assert got == sorted(map(tuple, components(docs).collect())) and len(writes) > 2
+    assert ("n060", "n000") in got
+    monkeypatch.undo()
+    assert components(docs.limit(0)).collect() == []
+
+
+def test_driver_garbage_is_collected():
+    from types import SimpleNamespace as Some
+
+    from tarnsearch.llm._spark import tidy
+
+    state = {"used": 0, "live": 100, "runs": 0}
+    heap = Some(maxMemory=lambda: 750, totalMemory=lambda: 700, freeMemory=lambda: 700 - state["used"])
+    collect = lambda: state.update(used=state["live"], runs=state["runs"] + 1)
+    spark = Some(sparkContext=Some(_jvm=Some(Runtime=Some(getRuntime=lambda: heap), System=Some(gc=collect))))
+    for used, live, runs in ((249, 100, 0), (251, 200, 1), (399, 200, 1), (401, 100, 2), (249, 100, 2), (251, 100, 3)):
+        state |= {"used": used, "live": live}
+        tidy(spark)
+        assert state["runs"] == runs
+
+
 def test_classes_equal_all_pairs(spark):
     """Components of all pairs of weighted Jaccard similarity 0.8 or more, by plain Python; families are far under it to over it."""
     rng = random.Random(11)
