@@ -101,6 +101,23 @@ def test_few_edges_take_one_write(spark, monkeypatch):
     assert components(docs.limit(0)).collect() == []
 
 
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    text = "one two three two one " * 5000
+    raw, off = nd.texts(pa.array([text, "two four", "", None]))
+    own, owner, which = nd._in_texts(raw, off)
+    assert sorted(zip(owner.tolist(), own[which].tolist())) == sorted((k, int(h)) for k, t in enumerate((text, "two four")) for h in {*nd.word_hashes(*nd.texts(pa.array([t])))[0].tolist()})
+    h, _ = nd.word_hashes(raw, off)
+    known = np.sort(own)
+    asked, real = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: asked.append(len(v)) or real(a, v, *x, **y))
+    idf = nd.Weigher(known, np.arange(1.0, 5.0), 7).idf(h, pa.array([[]] * 4, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))))
+    assert idf.tolist() == [math.log1p(7 / (1 + known.tolist().index(x))) for x in h.tolist()]
+    assert asked == [4]
+
+
 def test_driver_garbage_is_collected():
     from types import SimpleNamespace as Some
 
