@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnsearch.llm._spark import discard, settle
+from tarnsearch.llm._spark import discard
+from tarnsearch.llm._spark import settle_tidy as settle
 
 SHORT = 1 << 20  # edges that one task takes
 

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsearch.llm._bytes import U64, mix, pieces, shingles, texts, word_hashes
-from tarnsearch.llm._spark import discard, settle
+from tarnsearch.llm._spark import discard
+from tarnsearch.llm._spark import settle_tidy as settle
 from tarnsearch.llm.components import components
 from tarnsearch.llm.lm import frequent
 
