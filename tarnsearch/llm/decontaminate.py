@@ -33,6 +33,7 @@ SHARE = 0.8
 MISMATCH = 3
 BLOCK_BYTES = 8 << 20
 _BITS = 22
+_PIECE = 1 << 20  # bytes of text at a time
 
 FOLD = LOWER.copy()
 FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
@@ -168,7 +169,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces(batch, "text"):
+                for part in pieces(batch, "text", _PIECE):
                     h, first = tokens(*texts(part.column(1)))
                     ids, rows = part.column(0).to_pylist(), []
                     for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -188,7 +189,7 @@ def drop_overlapping(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in pieces(batch, text_col):
+                for part in pieces(batch, text_col, _PIECE):
                     h, first = tokens(*texts(part.column(at)))
                     clean = [not block.overlaps(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                     yield part.filter(pa.array(clean, pa.bool_()))

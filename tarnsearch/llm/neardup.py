@@ -42,6 +42,7 @@ FREQUENT = 1 << 18
 BINS = 128
 UNIT = 16  # of a bin's weight, rounded up
 _TABLE_BITS = 14
+_PIECE = 1 << 20  # bytes of text at a time
 
 
 def _draws() -> tuple[np.ndarray, ...]:
@@ -158,7 +159,7 @@ def document_frequency(rows: DataFrame) -> DataFrame:
             return own, np.bincount(which, np.concatenate([n for _, n in found])).astype(np.int64)
 
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 own, _, which = _in_texts(*texts(part.column(0)))
                 found.append((own, np.bincount(which, minlength=len(own))))
                 held += len(own)
@@ -183,7 +184,7 @@ def rare_words(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, _ = shared.value
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", _PIECE):
                 own, owner, which = _in_texts(*texts(part.column(1)))
                 other = ~np.isin(own, word, assume_unique=True)
                 owner, which = owner[other[which]], which[other[which]]
@@ -204,7 +205,7 @@ def signatures(rows: DataFrame, shared, n_docs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh, draws = Weigher(*shared.value, n_docs), _draws()
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", _PIECE):
                 keys, bins, total = [], [], []
                 for own, w in weigh(*texts(part.column(2)), part.column(3)):
                     keys.append(bands(samples(own, np.log(w).astype(np.float32), draws)) if len(own) else [])

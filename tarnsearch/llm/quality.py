@@ -31,6 +31,7 @@ FIT_ROWS = 6_000
 THRESHOLD = 0.3
 SHARES = 16
 REPEAT_WEIGHT = 8.0
+_PIECE = 1 << 19  # bytes of text at a time: each has tens of bytes of temporaries, and a worker keeps much of what it once took
 _FACTORS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
 
@@ -59,6 +60,14 @@ class Grams:
             yield own[self.last[own] == place]
 
 
+def gram_pieces(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Slices of batches, each with the n-grams of the texts in its column ``at``."""
+    grams = Grams()
+    for batch in batches:
+        for part in pieces(batch, batch.schema.names[at], _PIECE):
+            yield part, grams(*texts(part.column(at)))
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of a feature's indicator
@@ -105,14 +114,16 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, co
         share = (float((y > 0).sum()) + 1.0) / (len(y) + 2.0)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, math.log(share / (1 - share)))
     to = np.concatenate([[0], np.cumsum([len(own) for own in rows])])
+    good, bad = np.full(size, smooth), np.full(size, smooth)
+    for own, s in zip(rows, y.tolist(), strict=True):
+        (good if s > 0 else bad)[own] += 1.0
     flat = np.concatenate(rows)
     rows.clear()
-    of = np.repeat(y, np.diff(to))
-    good, bad = (np.bincount(flat[of == s], minlength=size) + smooth for s in (1.0, -1.0))
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     ratio[1 << BITS :] *= REPEAT_WEIGHT
-    values = ratio.astype(np.float32)[flat]
+    values, narrow = np.empty(len(flat), dtype=np.float32), ratio.astype(np.float32)
     for a, b in zip(to[:-1], to[1:], strict=True):
+        values[a:b] = narrow[flat[a:b]]
         if n := float(np.linalg.norm(values[a:b])):
             values[a:b] /= n
     seen = np.arange(len(y)) % 4 != 3
@@ -170,16 +181,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model
     """Features are made on the executors, one task fits the bounded sample, and the driver gets the model only."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                own = [np.sort(x).astype("<i4").tobytes() for x in grams(*texts(part.column(1)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
+        for part, found in gram_pieces(batches, 1):
+            own = [np.sort(x).astype("<i4").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in batches:
             found += zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            batch = None  # its bytes go before the fit
         found.sort()
         order = np.random.default_rng(3).permutation(len(found)).tolist()
         rows, labels = [np.frombuffer(found[i][2], "<i4") for i in order], np.array([found[i][1] for i in order], dtype=int)
@@ -200,11 +210,9 @@ def score_column(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id
     """The columns ``keep`` and ``score``, 0 to 1, higher for label 1. Null is scored as the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        for batch in batches:
-            for part in pieces(batch, "__text"):
-                got = [model.score(own) for own in grams(*texts(part.column(len(keep))))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, "score"])
+        for part, found in gram_pieces(batches, len(keep)):
+            got = [model.score(own) for own in found]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(got, pa.float64())], [*keep, "score"])
 
     kinds = dict(docs.dtypes)
     chosen = docs.select(*keep, docs[text_col].cast("string").alias("__text"))
@@ -222,9 +230,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                yield part.filter(pa.array([model.score(own) >= threshold for own in grams(*texts(part.column(at)))], pa.bool_()))
+        for part, found in gram_pieces(batches, at):
+            yield part.filter(pa.array([model.score(own) >= threshold for own in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tarnsearch.llm import quality
 
@@ -49,3 +52,41 @@ def test_dual_descent_reaches_the_optimum():
         v, c = w + move[:60], bias + move[60]
         m = np.array([v[flat[a:b]] @ values[a:b] + c for a, b in zip(to, to[1:])])
         assert (v @ v + c * c) / 2 + (cost * np.maximum(0, 1 - y * m)).sum() >= primal - 1e-6
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("stage", ["score_column", "keep_good"])
+def test_memory_of_a_batch_has_a_bound(spark, monkeypatch, stage):
+    """A batch of 8 MB of text takes a worker a few MB more than its texts, whichever function reads it."""
+    rng = random.Random(3)
+    text = prose(rng, 300)
+    batch = pa.RecordBatch.from_arrays([pa.array([text[k % 50 :] for k in range((8 << 20) // len(text))])], ["text"])
+    model = quality.Model(np.zeros((1 << quality.BITS) + quality.SHARES), np.zeros((1 << quality.BITS) + quality.SHARES), 0.0, 1.0, 0.0)
+    ran = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *_: ran.append(f) or self.limit(0))
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: model)
+    docs = spark.createDataFrame([], "text string")
+    if stage == "score_column":
+        quality.score_column(docs, model, keep=())
+        batch = batch.rename_columns(["__text"])
+    else:
+        quality.keep_good(docs, None)
+    got = []
+    assert _peak(lambda: got.extend(x.num_rows for x in ran[0](iter([batch])))) < 64 << 20
+    assert sum(got) == batch.num_rows
+
+
+def test_memory_of_a_fit_has_a_bound():
+    """Besides the rows a fit holds two flat copies of 4 bytes a feature, and tables of a fixed size."""
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(1 << quality.BITS, 20_000, replace=False)).astype(np.int32) for _ in range(300)]
+    n, labels = sum(map(len, rows)), np.arange(300) % 2
+    assert _peak(lambda: quality.fit_rows(rows, labels)) < 8 * n + 16 * 8 * (1 << quality.BITS)
