@@ -78,3 +78,23 @@ def test_shared_tokens_equal_a_sort():
     keys = suffixes.Keys(head, np.array([len(q) for q in seqs], np.uint8), rest, np.zeros(300, suffixes._ID))
     common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert keys.shared().tolist() == [max(common(a, b) for j, b in enumerate(seqs) if j != i) for i, a in enumerate(seqs)]
+
+
+def test_a_group_of_many_texts_is_split(spark):
+    """Half of all groups have the same key: its rows go to several tasks, and none is lost."""
+    small = {"adaptive.enabled": "true", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "8", "autoBroadcastJoinThreshold": "-1"}
+    small |= {"adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        key = "if(id % 2 = 0, 0, id div 4) as key"
+        groups = spark.range(0, 40_000, 1, 8).selectExpr("id as rid", "1000L as n", "cast(id % 7 as int) as b", "10 as e", key, "1L as members", "id % 8 != 3 as open")
+        spans = suffixes.asked(groups)
+        got = {r["rid_"]: [tuple(s) for s in r["spans"]] for r in spans.collect()}
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert "skew=true" in plan
+    assert got == {i: [(i % 7, 10)] for i in range(40_000)}
